@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from .chat_format import format_chats, read_back
 from .decontamination import find_contamination
 from .near_dedup import near_duplicates
+from .pieces import encode_pieces
+from .pii import KINDS, find_pii, written
+from .quality_classifier import classify_quality
 from .quality_rules import judge_quality
 from .sharding import shard_manifest
 from .substring_dedup import dedup_substrings
@@ -53,6 +56,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer(), limit=4096)
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_pieces(table(spark, sf_dir, "documents"), tokenizer(), with_ids=False)
+    return found.select("doc_id", "n_tokens", "ids_crc32", "round_trip")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select(
@@ -74,6 +82,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "host", "path", *(F.round(c, 6).alias(c) for c in ("p_host", "p_path", "p_reject")), "kept")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_manifest(table(spark, sf_dir, "documents"), shards=8)
 
@@ -84,9 +103,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_substring_dedup,
         op2_chat_format,
         op3_token_counts,
+        op4_pieces,
         op5_decontamination,
         op6_near_dedup,
         op7_quality_rules,
+        op8_pii,
+        op9_quality_classifier,
         op10_sharding,
     )
 }
