@@ -74,27 +74,29 @@ def find_contamination(
         .join(rarity, "token")
         .withColumn("rank", F.row_number().over(rarest))
         .where("rank = 1")
-        .select("token", "at", F.col("words").alias("wanted"), "item_ids")
+        .select("token", "at", F.size("words").alias("length"), F.array_join("words", " ").alias("wanted"), "item_ids")
     )
     ends = docs.sparkSession.range(1).select(
-        F.lit(_END).alias("token"), F.lit(0).alias("at"), F.expr("cast(null as array<string>)").alias("wanted"), F.expr("cast(null as array<string>)").alias("item_ids")
+        F.lit(_END).alias("token"), F.lit(0).alias("at"), F.lit(0).alias("length"), F.expr("cast(null as string)").alias("wanted"), F.expr("cast(null as array<string>)").alias("item_ids")
     )
     table = prefixes.unionByName(ends)
     placed = rows.select("row_id", "doc_id", "words", F.posexplode(every).alias("pos", "w"))
-    here = F.slice("words", F.col("pos") - F.col("at") + 1, F.size("wanted"))
-    fits = (F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.size("wanted") <= F.size("words"))
-    found = F.when(F.col("wanted").isNull(), True).when(fits, _lowered(here) == F.col("wanted")).otherwise(False)
+    # Slices and joins of strings, unlike higher-order functions, stay in the join's generated
+    # code, which then makes no row that holds a document's words.
+    start = F.col("pos") - F.col("at")
+    fits = (start >= 0) & (start + F.col("length") <= F.size("words"))
+    here = F.translate(F.array_join(F.slice("words", start + 1, F.col("length")), " "), _UPPER, _LOWER)
+    found = F.when(F.col("wanted").isNull(), True).when(fits, here == F.col("wanted")).otherwise(False)
     if small:
         met = placed.withColumn("token", F.lower("w")).join(hint(table), "token")
     else:
         salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))))
         tokens = placed.select("row_id", "pos", F.lower("w").alias("token"), F.pmod(F.xxhash64("row_id", "pos"), F.lit(_SALT)).cast("int").alias("salt"))
         met = tokens.join(salted, ["token", "salt"]).join(rows, "row_id")
-    start = F.col("pos") - F.col("at")
     hits = met.where(found).select(
         "row_id", "doc_id", "item_ids",
         F.when(F.col("wanted").isNull(), F.col("pos")).alias("n_words"),
-        F.when(F.col("wanted").isNotNull(), F.struct(start.alias("start"), (start + F.size("wanted")).alias("end"))).alias("span"),
+        F.when(F.col("wanted").isNotNull(), F.struct(start.alias("start"), (start + F.col("length")).alias("end"))).alias("span"),
     )
     covered = F.aggregate(
         F.array_sort("spans"),
