@@ -1,10 +1,398 @@
-"""Registered queries over the driver's tables and their DuckDB twins."""
+"""Registered queries over the driver's tables, one or more per operator."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ..config import TIER_KEEP, SelectionConfig, keep_ratio
+from ..functions.text import approx_tokens, last_json_object, marker_total, matches_any, strip, tokens
+from ..operators import admission, documents, evaluation, freeze, messages, scoring, selection, sweep
+from ..operators.chunking import line_windows, sentences, split_chunks
+from ..sources.tables import table
+from ..sources.transcripts import dataset_slice
+from ..streaming.freeze import frozen_stream
+from ..streaming.windows import event_windows
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
+
+CFG = SelectionConfig()
+CONV = replace(CFG, min_message_chars=200, selectable_roles=("user", "assistant"))
+DATA_PINS = (r"(?i)licen[sc]e", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", r"(?i)(?:token|password|secret)\s*=")
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark item of their id as the question."""
+    items = table(spark, sf_dir, "benchmark")
+    n = max(1, items.count())
+    docs = table(spark, sf_dir, "documents").where("n_chars >= 800").select(F.col("doc_id").alias("block_id"), "text", F.pmod("doc_id", F.lit(n)).alias("item_id"))
+    return docs.join(items.select("item_id", F.col("text").alias("query")), "item_id").select("block_id", "text", "query")
+
+
+def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.chunk_blocks(_blocks(spark, sf_dir), CFG)
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.decide(selection.score_blocks(_chunked(spark, sf_dir), CFG), CFG, F.lit(0.6))
+
+
+def chunk_sentences(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", sentences(F.col("text")).alias("chunks"))
+    return docs.select("doc_id", F.posexplode("chunks").alias("idx", "chunk"))
+
+
+def _anchored(spark, sf_dir):
+    """Eight benchmark items to a block, with citation anchors, joined by blank lines."""
+    items = table(spark, sf_dir, "benchmark").withColumn("set_id", F.floor(F.col("item_id") / 8)).withColumn("pos", F.pmod("item_id", F.lit(8)))
+    line = F.concat(F.lit("["), (F.col("pos") + 1).cast("string"), F.lit("] "), "text")
+    rows = items.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("rows"))
+    return rows.select("set_id", F.array_join(F.transform("rows", lambda r: r["line"]), "\n\n").alias("text"))
+
+
+def chunk_delimited(spark, sf_dir):
+    return split_chunks(_anchored(spark, sf_dir)).select("set_id", F.posexplode("chunks").alias("idx", "chunk"))
+
+
+def chunk_line_windows(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    return docs.select("doc_id", F.posexplode(line_windows(F.col("lines"))).alias("idx", "chunk"))
+
+
+def tokenize_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("t"))
+    return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+
+
+def block_idf(spark, sf_dir):
+    w = scoring.term_weights(_chunked(spark, sf_dir)).where("idx = n")
+    return w.select("block_id", "token", F.round("tf", 9).alias("tf"), "df", F.round("w", 9).alias("w"))
+
+
+def lexical_scores(spark, sf_dir):
+    return scoring.lexical_scores(_chunked(spark, sf_dir)).select("block_id", "idx", F.round("score", 9).alias("score"))
+
+
+def pinned_chunks(spark, sf_dir):
+    docs = chunk_sentences(spark, sf_dir)
+    return docs.where(matches_any(F.col("chunk"), DATA_PINS)).select("doc_id", "idx")
+
+
+def pinned_default(spark, sf_dir):
+    said = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.lit("You Must not. "), "chunk")).when(F.pmod("doc_id", F.lit(3)) == 1, F.concat(F.lit("mustard api_key "), "chunk")).otherwise(F.col("chunk"))
+    docs = chunk_sentences(spark, sf_dir).where("idx < 3").withColumn("chunk", said)
+    return docs.select("doc_id", "idx", matches_any(F.col("chunk"), CFG.pin_patterns).alias("pinned"))
+
+
+def rare_entities(spark, sf_dir):
+    return _chunked(spark, sf_dir).select("block_id", F.array_join(F.array_sort("rare"), ",").alias("rare"))
+
+
+def budget_topk(spark, sf_dir):
+    scored = selection.score_blocks(_chunked(spark, sf_dir), CFG)
+    rank = F.row_number().over(Window.partitionBy("block_id").orderBy(F.desc("score"), "idx"))
+    return scored.withColumn("rn", rank).where(F.col("rn") <= selection.budget(F.col("n"), F.lit(0.6))).select("block_id", "idx", "rn")
+
+
+def select_flagship(spark, sf_dir):
+    done = selection.select_blocks(_blocks(spark, sf_dir), 0.6, CFG)
+    return done.select("block_id", F.col("n").cast("long").alias("n"), F.col("kept").cast("long").alias("kept"), "changed", F.md5("new_text").alias("text_md5"))
+
+
+def select_embedded(spark, sf_dir):
+    """A caller's embedder: letter frequencies."""
+
+    def letters(texts):
+        return [[t.lower().count(chr(97 + i)) for i in range(26)] for t in texts]
+
+    blocks = _blocks(spark, sf_dir).where("block_id % 10 = 0")
+    return selection.select_blocks(blocks, 0.6, CFG, embed=letters).select("block_id", "n", "kept", "changed", F.md5("new_text").alias("text_md5"))
+
+
+def dropped_runs(spark, sf_dir):
+    block = Window.partitionBy("block_id").orderBy("idx")
+    runs = _decided(spark, sf_dir).withColumn("island", F.sum(F.col("kept").cast("int")).over(block)).where("not kept")
+    return runs.groupBy("block_id", "island").agg(F.min("idx").cast("long").alias("start"), F.count("*").alias("length")).drop("island")
+
+
+def selection_stats(spark, sf_dir):
+    return selection.selection_stats(selection.select_blocks(_blocks(spark, sf_dir), 0.6, CFG))
+
+
+def tokens_saved(spark, sf_dir):
+    done = selection.select_blocks(_blocks(spark, sf_dir), 0.6, CFG)
+    return done.select("block_id", (approx_tokens(F.col("text")) - approx_tokens(F.col("new_text"))).alias("tokens_saved"))
+
+
+def marker_accounting(spark, sf_dir):
+    done = selection.select_blocks(_blocks(spark, sf_dir), 0.6, CFG).where("changed")
+    return done.select("block_id", marker_total(F.col("new_text"), CFG.drop_marker).alias("dropped"), F.col("runs").cast("long").alias("runs"))
+
+
+def keep_sweep(spark, sf_dir):
+    grid = F.explode(F.array(*(F.lit(k) for k in admission.KEEPS)))
+    scored = selection.score_blocks(_chunked(spark, sf_dir), CFG).withColumn("keep", grid)
+    built = selection.rebuild(selection.decide(scored, CFG, F.col("keep")), CFG)
+    return built.groupBy("keep").agg(
+        F.count("*").alias("blocks"), F.sum("n").alias("chunks_in"), F.sum("kept").alias("chunks_kept"), F.round(F.median(100.0 * F.col("dropped") / F.col("n")), 6).alias("median_pct"))
+
+
+def tier_keep(spark, sf_dir):
+    tiers = spark.createDataFrame([(t, keep_ratio(CFG, t)) for t in (*TIER_KEEP, "unknown")] + [("complexity", keep_ratio(CFG, None, 0.9))], "tier string, keep double")
+    sizes = _chunked(spark, sf_dir).select("n").withColumn("tier", F.explode(F.array(*map(F.lit, (*TIER_KEEP, "unknown", "complexity")))))
+    joined = sizes.join(F.broadcast(tiers), "tier")
+    return joined.groupBy("tier", "keep").agg(F.sum(selection.budget(F.col("n"), F.col("keep"))).alias("chunks_kept"))
+
+
+def _messages(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("msg_idx"), "role", F.col("text").alias("content"))
+
+
+def conv_route(spark, sf_dir):
+    routed = messages.route(_messages(spark, sf_dir), CONV)
+    return routed.select("conv_id", "msg_idx", "last_user_idx", F.md5("query").alias("query_md5"), "selectable")
+
+
+def conv_trim(spark, sf_dir):
+    done = messages.trim_messages(_messages(spark, sf_dir), 0.5, CONV)
+    return done.select("conv_id", "msg_idx", "changed", F.md5("new_content").alias("content_md5"))
+
+
+def conv_trim_summary(spark, sf_dir):
+    return messages.trim_summary(messages.trim_messages(_messages(spark, sf_dir), 0.5, CONV), CONV)
+
+
+def conv_trim_parts(spark, sf_dir):
+    """Contents as JSON parts: even turns as a string, odd ones as a tool result around a text part."""
+    text = F.struct(F.lit("text").alias("type"), F.col("content").alias("text"))
+    result = F.array(F.struct(F.lit("tool_result").alias("type"), F.lit("t1").alias("tool_use_id"), F.array(text).alias("content")))
+    # the role is changed so that a tool result can be selected
+    rows = _messages(spark, sf_dir)
+    odd = (F.col("msg_idx") % 2 == 1) & (F.col("role") == "assistant")
+    plain = F.substr(F.to_json(F.struct(F.col("content").alias("x"))), F.lit(6), F.char_length(F.to_json(F.struct(F.col("content").alias("x")))) - 6)
+    rows = rows.select("conv_id", "msg_idx", F.when(odd, "tool").otherwise(F.col("role")).alias("role"), F.when(odd, F.to_json(result)).otherwise(plain).alias("content"))
+    return messages.trim_parts(rows, 0.5, replace(CONV, selectable_roles=("tool",))).select("conv_id", "msg_idx", "changed")
+
+
+def freeze_first_sight(spark, sf_dir):
+    seen = freeze.first_sight(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("turn"), "text"))
+    return seen.select("turn", "block_key", "is_first")
+
+
+def freeze_decisions(spark, sf_dir):
+    turns = _blocks(spark, sf_dir).withColumnRenamed("block_id", "turn")
+    return freeze.select_frozen(turns, 0.6, CFG).select("turn", "changed", F.md5("new_text").alias("text_md5"))
+
+
+def duplicate_payloads(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.lit(0).alias("conv_id"), F.col("doc_id").alias("ord"), F.lit("tool_result").alias("kind"), F.lit(None).cast("string").alias("tool_use_id"),
+                                                    F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast("string").alias("file_path"), F.col("text").alias("body"), F.pmod("doc_id", F.lit(16)).alias("shard"))
+    # one transcript per sixteenth of the table
+    done = sweep.classify(docs.withColumn("conv_id", F.col("shard")).drop("shard"))
+    return done.where("reason = 'duplicate'").select(F.col("ord").alias("doc_id"))
+
+
+def _transcript(spark, sf_dir):
+    """Events as a transcript: a view is a read, a purchase a write, a click an edit."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    size = 300 + 10 * k
+    rows = table(spark, sf_dir, "events").where("event_type in ('view', 'purchase', 'click')").select(
+        F.col("user_id").alias("conv_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("ord"),
+        F.when(F.col("event_type") == "view", "tool_result").otherwise("tool_use").alias("kind"), F.col("event_id").cast("string").alias("tool_use_id"),
+        F.when(F.col("event_type") == "purchase", "Write").when(F.col("event_type") == "click", "Edit").alias("tool_name"),
+        F.when(F.col("event_type") != "view", F.concat(F.lit("f"), (k % 7).cast("string"))).alias("file_path"), F.repeat(F.concat((k % 10).cast("string"), F.lit("x")), (size / 2).cast("int")).alias("body"), k.alias("k"))
+    return rows
+
+
+def _with_reads(rows: DataFrame) -> DataFrame:
+    """Each view also gets the call that it answers, just before it."""
+    calls = rows.where("kind = 'tool_result'").select("conv_id", (F.col("ord") * 2 - 1).alias("ord"), F.lit("tool_use").alias("kind"), "tool_use_id", F.lit("Read").alias("tool_name"),
+                                                      F.concat(F.lit("f"), (F.col("k") % 7).cast("string")).alias("file_path"), F.lit(None).cast("string").alias("body"))
+    return rows.select("conv_id", (F.col("ord") * 2).alias("ord"), "kind", "tool_use_id", "tool_name", "file_path", "body").unionByName(calls)
+
+
+def sweep_edits(spark, sf_dir):
+    done = sweep.sweep(_with_reads(_transcript(spark, sf_dir)))
+    return done.where("reason is not null").select("conv_id", "ord", "reason", F.col("tokens_saved").cast("long").alias("tokens_saved"))
+
+
+def sweep_cut_point(spark, sf_dir):
+    rows = _transcript(spark, sf_dir).select("conv_id", "ord", (F.col("k") + 10).cast("long").alias("tokens"), F.when(F.col("k") % 3 == 0, F.col("k")).otherwise(0).cast("long").alias("saved"))
+    return sweep.cut_points(rows, 50)
+
+
+def live_question_asof(spark, sf_dir):
+    rows = _messages(spark, sf_dir).select(F.col("conv_id").alias("session"), F.col("msg_idx").alias("ord"), F.when(F.col("role") == "user", F.col("content")).alias("question"))
+    return admission.live_question(rows).select("session", "ord", F.md5("live_question").alias("question_md5"))
+
+
+def _docsets(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark")
+    docs = table(spark, sf_dir, "documents").where("n_chars > 0").select(F.floor(F.col("doc_id") / 10).alias("set_id"), F.pmod("doc_id", F.lit(10)).alias("pos"), "text")
+    n = max(1, items.count())
+    return docs.join(items.select(F.col("item_id").alias("i"), F.col("text").alias("query")), F.pmod("set_id", F.lit(n)) == F.col("i")).drop("i")
+
+
+def docset_spans(spark, sf_dir):
+    return documents.document_spans(_docsets(spark, sf_dir)).select("set_id", "pos", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+
+
+def docset_filter(spark, sf_dir):
+    return documents.select_documents(_docsets(spark, sf_dir), 0.5).select("set_id", "pos", "kept")
+
+
+def docset_compress(spark, sf_dir):
+    return documents.compress_documents(_docsets(spark, sf_dir), 0.5).select("set_id", "pos", F.md5("text").alias("text_md5"))
+
+
+def _own(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").where("item_id < 40")
+    return items.select(F.col("text").alias("question"), F.lit(0).alias("pos"), F.concat(F.lit("t"), F.col("item_id").cast("string")).alias("title"), "text")
+
+
+def _pool(spark, sf_dir):
+    """At most 3000 paragraphs, the pool's own bound."""
+    docs = table(spark, sf_dir, "documents").where("n_chars > 0").select("doc_id", "text").orderBy("doc_id").limit(3000)
+    return docs.select(F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("title"), "text")
+
+
+def pad_context(spark, sf_dir):
+    rows = evaluation.padded(_own(spark, sf_dir), _pool(spark, sf_dir), evaluation.SIZE_TOKENS["medium"])
+    return rows.groupBy(F.md5("question").alias("question_md5")).agg(F.count("*").alias("paragraphs"), F.sum(approx_tokens(F.concat("title", F.lit(": "), "text"))).alias("tokens"))
+
+
+def build_context(spark, sf_dir):
+    rows = evaluation.padded(_own(spark, sf_dir), _pool(spark, sf_dir), evaluation.SIZE_TOKENS["medium"])
+    return evaluation.contexts(rows).select(F.md5("question").alias("question_md5"), F.md5("context").alias("context_md5"))
+
+
+def pool_antijoin(spark, sf_dir):
+    own = _own(spark, sf_dir).select("title")
+    return _pool(spark, sf_dir).join(own, "title", "left_anti").select("title")
+
+
+def gold_recall(spark, sf_dir):
+    done = selection.select_blocks(_blocks(spark, sf_dir), 0.6, CFG)
+    said = F.substr("query", F.lit(1), F.lit(40))
+    return done.select("block_id", F.contains("text", said).cast("int").alias("gold_total"), (F.contains("text", said) & F.contains("new_text", said)).cast("int").alias("gold_kept"))
+
+
+def _pairs(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").dropDuplicates(["doc_id"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    grade = lambda c, good: F.when(F.col(c) == good, "correct").otherwise("incorrect")
+    return labels.join(docs, "doc_id").select(
+        "doc_id", F.floor(F.col("n_chars") / 4).alias("tokens_full"), F.floor(F.col("n_chars") * 3 / 20).alias("tokens_selected"), F.lit(2).alias("gold_total"), (F.col("quality") + 1).alias("gold_kept"),
+        grade("quality", 1).alias("grade_full"), grade("toxic", 0).alias("grade_selected"), ((F.col("quality") == 1) & (F.col("toxic") == 1)).alias("materially_worse"))
+
+
+def ab_metrics(spark, sf_dir):
+    return evaluation.ab_metrics(_pairs(spark, sf_dir))
+
+
+def grade_hist(spark, sf_dir):
+    return evaluation.grade_histogram(_pairs(spark, sf_dir), "grade_full")
+
+
+def pair_order(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", evaluation.swapped(F.col("text")).alias("swapped"))
+
+
+def last_json(spark, sf_dir):
+    said = F.concat(F.lit("I think {not json} "), "props", F.lit(" so "), F.lit('{"grade": "correct", "n": '), F.col("event_id").cast("string"), F.lit("} {oops"))
+    return table(spark, sf_dir, "events").select("event_id", last_json_object(said).alias("reply"))
+
+
+def _vectors(spark, sf_dir) -> tuple[DataFrame, Column]:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    return vectors.crossJoin(F.broadcast(vectors.where("vec_id = 0").select(F.col("v").alias("q")).limit(1))), scoring.cosine(F.col("v"), F.col("q"))
+
+
+def dense_scores(spark, sf_dir):
+    rows, score = _vectors(spark, sf_dir)
+    return rows.select("vec_id", F.round(score, 9).alias("score"))
+
+
+def dense_topk(spark, sf_dir):
+    rows, score = _vectors(spark, sf_dir)
+    scored = rows.withColumn("score", F.round(score, 9))
+    block = Window.partitionBy("label")
+    ranked = scored.withColumn("n", F.count("*").over(block)).withColumn("rn", F.row_number().over(block.orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rn") <= selection.budget(F.col("n"), F.lit(0.3))).select("label", "vec_id", "rn")
+
+
+def _outputs(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("i"), F.col("text").alias("question"))
+    n = max(1, items.count())
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("block_id"), F.pmod("doc_id", F.lit(9)).alias("session"), F.when(F.pmod("doc_id", F.lit(5)) == 0, "Write").otherwise("Read").alias("tool"),
+                                                 F.when(F.pmod("doc_id", F.lit(7)) == 0, F.concat(F.lit("{"), "text")).otherwise(F.col("text")).alias("text"), F.lit("page").alias("arguments"))
+    return pages.join(items, F.pmod("block_id", F.lit(n)) == F.col("i")).drop("i")
+
+
+def admit_tool_output(spark, sf_dir):
+    done = admission.admit(_outputs(spark, sf_dir), 0.8)
+    return done.select("block_id", F.md5("updated").alias("updated_md5"), F.col("envelope").isNotNull().alias("sent"))
+
+
+def admission_eligible(spark, sf_dir):
+    rows = _outputs(spark, sf_dir)
+    return rows.select("block_id", admission.eligible(F.col("tool"), F.col("text")).alias("eligible"))
+
+
+def replay_sessions(spark, sf_dir):
+    return admission.replay(_outputs(spark, sf_dir))
+
+
+def replay_report(spark, sf_dir):
+    return admission.replay_report(admission.replay(_outputs(spark, sf_dir)))
+
+
+def dataset_page(spark, sf_dir):
+    return dataset_slice(table(spark, sf_dir, "benchmark"), "item_id", 5, 10).select("item_id", F.md5("text").alias("text_md5"))
+
+
+def _drained(stream: DataFrame, name: str) -> DataFrame:
+    spark = stream.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{where}/{name}-{uuid.uuid4().hex}").start()
+    query.awaitTermination()
+    return spark.table(name)
+
+
+def stream_freeze(spark, sf_dir):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        # a stream's path is a folder or a pattern, and the table may be one file
+        source = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")
+        stream = frozen_stream(source.select(F.col("doc_id").alias("turn"), "text", F.lit("q").alias("query")))
+        return _drained(stream, "ctxsieve_frozen").select("turn", "block_key", "first_turn")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def stream_event_windows(spark, sf_dir):
+    return event_windows(table(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "total")
+
+
+def strip_texts(spark, sf_dir):
+    padded = F.concat(F.lit("\t \n"), "text", F.lit(" \n\n"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.md5(strip(padded)).alias("text_md5"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        chunk_sentences, chunk_delimited, chunk_line_windows, tokenize_counts, block_idf, lexical_scores, pinned_chunks, pinned_default, rare_entities, budget_topk,
+        select_flagship, select_embedded, dropped_runs, selection_stats, tokens_saved, marker_accounting, keep_sweep, tier_keep, conv_route, conv_trim, conv_trim_summary,
+        conv_trim_parts, freeze_first_sight, freeze_decisions, duplicate_payloads, sweep_edits, sweep_cut_point, live_question_asof, docset_spans, docset_filter, docset_compress,
+        pad_context, build_context, pool_antijoin, gold_recall, ab_metrics, grade_hist, pair_order, last_json, dense_scores, dense_topk, admit_tool_output, admission_eligible,
+        replay_sessions, replay_report, dataset_page, stream_freeze, stream_event_windows, strip_texts,
+    )
+}
