@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
+__all__ = ["cut", "ensure_checkpoint_dir", "keyed", "ship"]
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the session's ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
@@ -26,24 +27,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the workers this package, once for each Spark application."""
-    sc = spark.sparkContext
-    package = Path(__file__).resolve().parent.parent
-    name = f"{package.name}-workers.zip"
-    if name in sc._python_includes:
-        return
-    path = os.path.join(tempfile.mkdtemp(prefix="ctxsieve-"), name)
-    with zipfile.ZipFile(path, "w") as z:
-        for file in sorted(package.rglob("*.py")):
-            z.write(file, file.relative_to(package.parent))
-    sc.addPyFile(path)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(row_id, doc_id, text)``: one row per input row, under a key that no other row has.
 
