@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _said(value):
+    """A message's content where it is a bare string; a list of parts would be cast to its JSON."""
+    content = F.try_variant_get(value, "$.message.content", "variant")
+    return F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string"))
+
+
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, line_no, value`` (VARIANT) of each line that parses; others are skipped."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "raw"))
@@ -34,7 +40,7 @@ def latest_question(lines: DataFrame, recent: int = 400) -> DataFrame:
     """``file, question``: the newest user text among the last ``recent`` lines of each transcript."""
     newest = Window.partitionBy("file").orderBy(F.desc("line_no"))
     near = lines.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= recent)
-    text = F.try_variant_get("value", "$.message.content", "string")
+    text = _said(F.col("value"))
     asked = (F.try_variant_get("value", "$.message.role", "string") == "user") & (F.trim(text) != "")
     return near.groupBy("file").agg(F.max_by(F.when(asked, text), F.when(asked, F.col("line_no"))).alias("question"))
 
@@ -43,7 +49,7 @@ def tool_results(lines: DataFrame) -> DataFrame:
     """``file, ord, tool, arguments, response, question``: results with the call before them and the live question."""
     content = F.coalesce(F.try_variant_get("value", "$.message.content", "array<variant>"), F.array())
     role = F.try_variant_get("value", "$.message.role", "string")
-    parts = lines.select("file", "line_no", role.alias("role"), F.try_variant_get("value", "$.message.content", "string").alias("said"), F.posexplode_outer(content).alias("part_no", "part"))
+    parts = lines.select("file", "line_no", role.alias("role"), _said(F.col("value")).alias("said"), F.posexplode_outer(content).alias("part_no", "part"))
     get = lambda f, t="string": F.try_variant_get("part", f"$.{f}", t)
     flat = parts.select("file", F.struct("line_no", "part_no").alias("ord"), "role", "said", get("type").alias("kind"), get("text").alias("text"), get("id").alias("id"),
                         get("tool_use_id").alias("of"), get("name").alias("tool"), get("input", "variant").alias("input"), get("content", "variant").alias("response"))
