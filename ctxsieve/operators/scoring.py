@@ -22,9 +22,9 @@ def term_weights(blocks: DataFrame) -> DataFrame:
     All steps keep the partitioning by block, so this costs one shuffle.
     """
     n = F.size("chunks")
-    texts = blocks.select("block_id", n.alias("n"), F.posexplode(F.concat("chunks", F.array("query"))).alias("idx", "chunk"))
-    words = texts.select("block_id", "n", "idx", tokens(F.col("chunk")).alias("words")).where(F.size("words") > 0)
-    words = words.select("block_id", "n", "idx", F.size("words").alias("length"), F.explode("words").alias("token")).repartition("block_id")
+    texts = blocks.select("block_id", "chunks", "query").repartition("block_id").select("block_id", n.alias("n"), F.posexplode(F.concat("chunks", F.array("query"))).alias("idx", "chunk"))
+    words = texts.select("block_id", "n", "idx", tokens(F.col("chunk")).alias("words"))
+    words = words.select("block_id", "n", "idx", F.size("words").alias("length"), F.explode(F.slice("words", F.lit(1), F.size("words"))).alias("token"))
     counted = words.groupBy("block_id", "n", "idx", "length", "token").agg(F.count("*").alias("c"))
     df = F.count("*").over(Window.partitionBy("block_id", "token"))
     return counted.withColumn("tf", F.col("c") / F.col("length")).withColumn("df", df).withColumn("w", F.col("tf") * F.ln((F.col("n") + 2) / F.col("df"))).select(
@@ -61,6 +61,8 @@ def embedded_scores(blocks: DataFrame, embed: Callable[[list[str]], list]) -> Da
         for pdf in batches:
             out = []
             for block, chunks, query in zip(pdf["block_id"], pdf["chunks"], pdf["query"]):
+                if chunks is None:
+                    continue
                 vectors = np.asarray(embed([*chunks, query]), float)
                 norms = np.linalg.norm(vectors, axis=1) * np.linalg.norm(vectors[-1])
                 dots = vectors @ vectors[-1]

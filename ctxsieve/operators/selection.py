@@ -21,18 +21,26 @@ def rare_entities(chunks: str = "chunks", query: str = "query") -> Column:
 
 
 def chunk_blocks(blocks: DataFrame, cfg: SelectionConfig) -> DataFrame:
-    """``blocks`` with ``chunks``, ``n`` and ``rare`` where both size gates are passed."""
+    """``blocks`` with ``chunks``, ``n`` and ``rare``, all null in blocks under a gate.
+
+    Nulls instead of a filter: a filter on the number of chunks would be pushed below the
+    splitting and split every text several times.
+    """
     long = blocks.where((F.char_length("text") >= cfg.min_message_chars) & F.col("query").isNotNull())
-    return split_chunks(long, "text", cfg.min_chunks).withColumn("n", F.size("chunks")).where(F.col("n") >= cfg.min_chunks).withColumn("rare", rare_entities())
+    split = split_chunks(long, "text", cfg.min_chunks, "_chunks")
+    enough = F.when(F.size("_chunks") >= cfg.min_chunks, F.col("_chunks"))
+    return split.withColumn("chunks", enough).drop("_chunks").withColumn("n", F.size("chunks")).withColumn("rare", F.when(F.col("chunks").isNotNull(), rare_entities()))
 
 
 def score_blocks(blocks: DataFrame, cfg: SelectionConfig, embed: Callable | None = None) -> DataFrame:
     """``block_id, n, idx, chunk, pinned, score`` of every chunk of chunked blocks."""
     scores = embedded_scores(blocks, embed) if embed else lexical_scores(blocks)
-    chunks = blocks.select("block_id", "n", "rare", F.posexplode("chunks").alias("idx", "chunk"))
+    # a slice, as exploding the column itself would add a filter that is pushed down too
+    every = F.posexplode(F.slice("chunks", F.lit(1), F.col("n"))).alias("idx", "chunk")
+    chunks = blocks.select("block_id", "n", "rare", "chunks").repartition("block_id").select("block_id", "n", "rare", every)
     rare = F.exists("rare", lambda e: F.contains(F.lower(F.col("chunk")), e))
     chunks = chunks.select("block_id", "n", "idx", "chunk", (matches_any(F.col("chunk"), cfg.pin_patterns) | rare).alias("pinned"))
-    joined = chunks.repartition("block_id").join(scores, ["block_id", "idx"], "left")
+    joined = chunks.join(scores, ["block_id", "idx"], "left")
     return joined.select("block_id", "n", "idx", "chunk", "pinned", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

@@ -91,7 +91,7 @@ def pinned_default(spark, sf_dir):
 
 
 def rare_entities(spark, sf_dir):
-    return _chunked(spark, sf_dir).select("block_id", F.array_join(F.array_sort("rare"), ",").alias("rare"))
+    return _chunked(spark, sf_dir).where("n > 0").select("block_id", F.array_join(F.array_sort("rare"), ",").alias("rare"))
 
 
 def budget_topk(spark, sf_dir):
@@ -145,7 +145,7 @@ def keep_sweep(spark, sf_dir):
 
 def tier_keep(spark, sf_dir):
     tiers = spark.createDataFrame([(t, keep_ratio(CFG, t)) for t in (*TIER_KEEP, "unknown")] + [("complexity", keep_ratio(CFG, None, 0.9))], "tier string, keep double")
-    sizes = _chunked(spark, sf_dir).select("n").withColumn("tier", F.explode(F.array(*map(F.lit, (*TIER_KEEP, "unknown", "complexity")))))
+    sizes = _chunked(spark, sf_dir).where("n > 0").select("n").withColumn("tier", F.explode(F.array(*map(F.lit, (*TIER_KEEP, "unknown", "complexity")))))
     joined = sizes.join(F.broadcast(tiers), "tier")
     return joined.groupBy("tier", "keep").agg(F.sum(selection.budget(F.col("n"), F.col("keep"))).alias("chunks_kept"))
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..workers import ship
+# The process that starts a stateful query gets no shipped files, so the processors travel whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class _FirstSight(StatefulProcessor):
@@ -65,7 +68,6 @@ class _Recent(StatefulProcessor):
 
 def frozen_stream(blocks: DataFrame) -> DataFrame:
     """``block_key, turn, first_turn, first_query`` of a stream of ``turn, text, query``."""
-    ship(blocks.sparkSession)
     keyed = blocks.select(F.substring(F.md5("text"), 1, 12).alias("block_key"), F.col("turn").cast("long").alias("turn"), "query")
     return keyed.groupBy("block_key").transformWithStateInPandas(
         _FirstSight(), "block_key string, turn long, first_turn long, first_query string", "Append", "None")
@@ -73,7 +75,6 @@ def frozen_stream(blocks: DataFrame) -> DataFrame:
 
 def recent_stream(blocks: DataFrame, size: int = 4096) -> DataFrame:
     """``scope, block_key, turn, first_turn`` of a stream of ``scope, turn, text``."""
-    ship(blocks.sparkSession)
     processor = type("Recent", (_Recent,), {"size": size})()
     keyed = blocks.select("scope", F.substring(F.md5("text"), 1, 12).alias("block_key"), F.col("turn").cast("long").alias("turn"))
     return keyed.groupBy("scope").transformWithStateInPandas(processor, "scope string, block_key string, turn long, first_turn long", "Append", "None")
