@@ -5,13 +5,15 @@
    into longs.  At the similarity asked for, a pair misses every band with a chance of
    (1 - 0.8**4)**32 = 5e-8.
 2. Equal sets collapse to a class; copies meet no other step until the end.
-3. Classes that share a band key meet in its bucket.  A bucket of n classes gives n - 1
-   candidate pairs with a pivot, not n*n.  Packed signatures are compared by bit counts:
-   similarity is (share of equal fields - 1/4) / (3/4), and only pairs far below the
-   threshold are let go.  The others are confirmed on full sets.
-4. Links give components.  Only buckets that still hold several components go on, with
-   other pivots, and at last with all pairs between their different components, so no
-   link between components is lost however large a bucket is.
+3. Classes that share a band key meet in its bucket.  Buckets of three bands together
+   hold mostly linked classes; each member is paired with a few pivots of the bucket, not
+   with all.  Packed signatures are compared by bit counts: similarity is (share of equal
+   fields - 1/4) / (3/4), and only pairs far below the threshold are let go.  The others
+   are confirmed on full sets, and links give components.
+4. Buckets of one band that still hold several components go on.  Small ones pair up the
+   members of different components; large ones are compared block by block inside tasks,
+   which give out only links that join components.  So no link between components is
+   lost however large a bucket is, and no group is written out as pairs.
 
 Loops cut their lineage with checkpoints in the shared folder.
 """
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut, keyed, ship
+from .session import cut, keyed, release, ship
 from .words import U64, chunks, hash_windows, hash_words, mix, utf8, word_spans
 
 BANDS, ROWS = 32, 4
@@ -36,7 +38,7 @@ _FACTORS = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, _MINIMA +
 #: Estimates lie under this for a pair at 0.8 once in about 1e9 (six standard deviations).
 _FLOOR = 0.55
 _SIGNATURE = [f"s{i}" for i in range(_LONGS)]
-_PIVOT_ROUNDS, _SMALL_BUCKET = 3, 64
+_PIVOTS, _SMALL_BUCKET, _BLOCK = 2, 32, 64
 
 
 def shingle_sets(column, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,20 +134,102 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, per
     return with_texts.mapInArrow(run, "a long, b long")
 
 
+def _narrow_keys(reps: DataFrame) -> DataFrame:
+    """``rep, key``: keys of three neighbouring bands, which few unlinked pairs share."""
+    three = lambda i: F.xxhash64(i, *(F.get("bands", (i + j) % BANDS) for j in range(3)))
+    return reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), three)).alias("key"))
+
+
+def _stars(keys: DataFrame) -> DataFrame:
+    """Different pairs (a, b) of each member of a bucket with a few pivots of the bucket."""
+    chosen = F.array(*(F.min_by("rep", F.xxhash64("rep", F.lit(i))) for i in range(_PIVOTS)))
+    pivots = keys.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y"), chosen.alias("pivots")).where("x != y")
+    met = keys.join(pivots.select("key", F.explode(F.array_distinct("pivots")).alias("pivot")), "key").where("rep != pivot")
+    return met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+
+
+def _blocks(large: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between different components within buckets too large to pair up as rows.
+
+    Large buckets that share members are one cluster; its members are dealt to blocks, and
+    each pair of blocks is one group in which all sets are compared at once.  What comes
+    out joins components, so a group gives fewer links than it has members.
+    """
+    member = large.select("rep", "component").distinct()
+    # a member's pivots are tied to the first of them, and the member to that one
+    pivots = large.groupBy("rep").agg(F.min("pivot").alias("first"))
+    tied = large.join(pivots, "rep").where("first != pivot").select(F.col("first").alias("a"), F.col("pivot").alias("b")).distinct()
+    cluster = components(tied.union(pivots.where("rep != first").select("rep", "first"))).withColumnRenamed("node", "rep")
+    member = cut(member.join(cluster.select("rep", F.col("component").alias("cluster")), "rep"))
+    sizes = member.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(_BLOCK)).cast("int").alias("blocks"))
+    dealt = member.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(texts.withColumnRenamed("row_id", "rep"), "rep")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = dealt.select("cluster", "block", other, "rep", "component", "text").select(
+        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = np.asarray(table.column("block")) == table.column("i")[0].as_py()
+        within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        rep, component = np.asarray(table.column("rep")), np.asarray(table.column("component"))
+        found: list[tuple[int, int]] = []
+        one, two = np.flatnonzero(side), np.arange(len(rep)) if within else np.flatnonzero(~side)
+        if len(np.unique(component)) > 1:
+            hashes, bounds = shingle_sets(table.column("text"), k)
+            _, ids = np.unique(hashes, return_inverse=True)
+            sizes = np.diff(bounds)
+            sets = [ids[bounds[d] : bounds[d + 1]] for d in range(len(rep))]
+            held, root = np.zeros(ids.max() + 1 if len(ids) else 1, bool), {int(c): int(c) for c in component}
+
+            def top(c: int) -> int:
+                while root[c] != c:
+                    c = root[c]
+                return c
+
+            for a in one:
+                # sizes alone rule out most partners of another length
+                near = [b for b in two if b != a and 100 * min(sizes[a], sizes[b]) >= percent * max(sizes[a], sizes[b])]
+                near = [b for b in near if top(int(component[a])) != top(int(component[b]))]
+                if not near:
+                    continue
+                held[sets[a]] = True
+                for b in near:
+                    if top(int(component[a])) != top(int(component[b])):
+                        both = int(held[sets[b]].sum())
+                        if both and 100 * both >= percent * (int(sizes[a]) + int(sizes[b]) - both):
+                            root[top(int(component[a]))] = top(int(component[b]))
+                            found.append((int(rep[a]), int(rep[b])))
+                held[sets[a]] = False
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return cut(met.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
 def components(links: DataFrame) -> DataFrame:
-    """``node, component`` of every node of ``links (a, b)``: least labels with pointer jumps."""
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component"))
-    labels = cut(labels)
+    """``node, component`` of every node of ``links (a, b)``; the label is some node of the component.
+
+    Each round gives every node the neighbour that comes first in a hashed order, follows
+    that three steps on, and contracts the links to those between different labels.  The
+    hashed order keeps chains of such steps short, and the links shrink from round to round.
+    """
+    links = cut(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        up = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        labels = cut(step.join(up, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
-        moved = labels.where("old != component").limit(1).count()
-        labels = labels.select("node", "component")
-        if not moved:
-            return labels
+        both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
+        nearest = both.groupBy("node").agg(F.min_by("other", F.xxhash64("other")).alias("first"))
+        parent = cut(nearest.select("node", F.when(F.xxhash64("first") < F.xxhash64("node"), F.col("first")).otherwise(F.col("node")).alias("parent")))
+        up = parent.toDF("parent", "second").join(parent.toDF("second", "third"), "second").select("parent", "third")
+        parent = cut(parent.join(up, "parent").select("node", F.col("third").alias("parent")))
+        if labels is None:
+            labels = parent.toDF("node", "component")
+        else:
+            labels = labels.join(parent.toDF("component", "parent"), "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
+        for end in ("a", "b"):
+            links = links.join(parent.toDF(end, "label"), end).drop(end).withColumnRenamed("label", end)
+        links = cut(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        release(links.sparkSession)
+        if links.isEmpty():
+            return cut(labels)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,33 +255,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     nodes = cut(reps.join(members, "rep", "left_semi").select("rep", *_SIGNATURE))
     texts = cut(rows.join(nodes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select("row_id", "text"))
 
-    pairs = active.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = cut(_confirmed(pairs, nodes, texts, shingle, percent))
-    buckets, last = active.select("key", "rep"), False
+    release(docs.sparkSession)
+    narrow = _narrow_keys(reps.join(members, "rep", "left_semi").select("rep", "bands"))
+    links = cut(_confirmed(_stars(narrow), nodes, texts, shingle, percent))
     labels = components(links)
-    for turn in range(1, _PIVOT_ROUNDS + 2):
-        placed = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("pivot"))
-        buckets = cut(placed.join(several.where("x != y").select("key", "n", "pivot"), "key"))
-        largest = buckets.agg(F.max("n")).first()[0]
-        if largest is None:
-            break
-        last = largest <= _SMALL_BUCKET or turn > _PIVOT_ROUNDS
-        one, two = (buckets.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component"))) for s in ("a", "b"))
-        if last:
-            pairs = one.join(two, "key").where("rep_a < rep_b and component_a != component_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-        else:
-            at = buckets.where("rep = pivot").select("key", F.col("component").alias("component_b"))
-            pairs = buckets.join(at, "key").where("component != component_b").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-        found = cut(_confirmed(pairs.distinct(), nodes, texts, shingle, percent))
-        links = links.union(found)
-        labels = components(links)
-        buckets = buckets.select("key", "rep")
-        if last:
-            break
+
+    placed = active.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), F.min("rep").alias("pivot"))
+    open_ = cut(placed.join(several.where("x != y").select("key", "n", "pivot"), "key"))
+    small, large = open_.where(F.col("n") <= _SMALL_BUCKET), open_.where(F.col("n") > _SMALL_BUCKET)
+    one, two = (small.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component"))) for s in ("a", "b"))
+    pairs = one.join(two, "key").where("rep_a < rep_b and component_a != component_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    more = cut(_confirmed(pairs.distinct(), nodes, texts, shingle, percent))
+    release(docs.sparkSession)
+    if not large.isEmpty():
+        more = more.union(_blocks(large, texts, shingle, percent))
+    labels = components(links.union(more))
 
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least = of_class.groupBy("component").agg(F.min("low").alias("component_id"))
+    least = cut(of_class.groupBy("component").agg(F.min("low").alias("component_id")))
     of_class = of_class.join(least, "component").select(*same, "component_id")
     return (
         features.select("row_id", "doc_id", *same)

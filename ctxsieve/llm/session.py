@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..workers import ship
 
-__all__ = ["cut", "ensure_checkpoint_dir", "keyed", "ship"]
+__all__ = ["cut", "ensure_checkpoint_dir", "keyed", "release", "ship"]
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -27,6 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files and checkpoints of steps that nothing refers to.
+
+    Its cleaner acts on collected garbage, and a driver with room to spare rarely collects.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(row_id, doc_id, text)``: one row per input row, under a key that no other row has.
 
