@@ -233,7 +233,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row_id, doc_id, n_shingles, component_id, kept``, one row per input row.
+    """``row_id, doc_id, n_shingles, component, component_id, kept``, one row per input row.
 
     Words are blank-separated, with A-Z lower-cased; a document's set holds its distinct
     shingles of ``shingle`` words, or its whole sequence if it is shorter.  Documents
@@ -241,6 +241,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     doc_id reachable and ``kept`` marks it.  Null and empty texts have an empty set, are
     linked with nothing and kept.  Rows that repeat an id are linked through their texts
     like any others; a null id is never least unless its whole component is null.
+    ``component`` is a row_id of the component, so it tells groups apart whatever their ids.
     """
     ship(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
@@ -274,11 +275,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = cut(of_class.groupBy("component").agg(F.min("low").alias("component_id")))
-    of_class = of_class.join(least, "component").select(*same, "component_id")
+    of_class = of_class.join(least, "component").select(*same, "component", "component_id")
     return (
         features.select("row_id", "doc_id", *same)
         .join(of_class, same, "left")
-        .select("row_id", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("row_id", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("row_id")).alias("component"),
+                F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
@@ -286,7 +288,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row of ``docs`` of each group, with all its columns; every row without a word stays."""
     found = near_duplicates(docs, **options).where("kept")
-    group = F.when(F.col("n_shingles") > 0, F.lit(-1)).otherwise(F.col("row_id"))
-    first = found.groupBy("component_id", group.alias("group")).agg(F.min("row_id").alias("_first")).select("_first")
+    first = found.groupBy("component").agg(F.min("row_id").alias("_first")).select("_first")
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     return numbered.join(first, F.col("_row") == F.col("_first"), "left_semi").drop("_row")

@@ -183,6 +183,16 @@ def test_near_dedup(docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, (_, c) in want.items() if d == c}
 
 
+def test_drop_keeps_one_row_of_each_group_under_null_and_repeated_ids(spark):
+    say = lambda w: " ".join(f"{w}{i}" for i in range(20))
+    alone = [(None, say("a")), (None, say("b")), (5, say("c")), (5, say("d")), (None, None), (5, ""), (5, None)]
+    copies = [(None, say("e")), (None, say("e")), (5, say("f")), (5, say("f")), (None, say("g")), (8, say("g")), (5, say("g") + " end")]
+    df = spark.createDataFrame(alone + copies, "doc_id long, text string").repartition(3)
+    key = lambda rows: collections.Counter((r[0], r[1]) for r in rows)
+    want = key(alone + [(None, say("e")), (5, say("f")), (5, say("g") + " end")])
+    assert key(near_dedup.drop_near_duplicates(df, shingle=4).collect()) == want
+
+
 def test_large_bucket_of_near_copies(spark):
     """Copies of one text, edited so that about half of the pairs are linked."""
     rng = random.Random(8)
