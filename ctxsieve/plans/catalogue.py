@@ -111,8 +111,7 @@ def select_embedded(spark, sf_dir):
     def letters(texts):
         return [[t.lower().count(chr(97 + i)) for i in range(26)] for t in texts]
 
-    blocks = _blocks(spark, sf_dir).where("block_id % 10 = 0")
-    return selection.select_blocks(blocks, 0.6, CFG, embed=letters).select("block_id", "n", "kept", "changed", F.md5("new_text").alias("text_md5"))
+    return selection.select_blocks(_blocks(spark, sf_dir), 0.6, CFG, embed=letters).select("block_id", "n", "kept", "changed", F.md5("new_text").alias("text_md5"))
 
 
 def dropped_runs(spark, sf_dir):
