@@ -84,12 +84,18 @@ def pinned_chunks(spark, sf_dir):
     return docs.where(matches_any(F.col("chunk"), DATA_PINS)).select("doc_id", "idx")
 
 
-def pinned_default(spark, sf_dir):
+def pinned_default_all(spark, sf_dir):
+    """The default pins over every sentence."""
     said = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.lit("You Must not. "), "chunk")).when(F.pmod("doc_id", F.lit(3)) == 1, F.concat(F.lit("mustard api_key "), "chunk")).otherwise(F.col("chunk"))
-    docs = chunk_sentences(spark, sf_dir).where("idx < 3").withColumn("chunk", said)
+    docs = chunk_sentences(spark, sf_dir).withColumn("chunk", said)
     return docs.select("doc_id", "idx", matches_any(F.col("chunk"), CFG.pin_patterns).alias("pinned"))
 
 
+def pinned_default(spark, sf_dir):
+    """The first three sentences only, as in the SQL twin."""
+    return pinned_default_all(spark, sf_dir).where("idx < 3")
+
+
 def rare_entities(spark, sf_dir):
     return _chunked(spark, sf_dir).where("n > 0").select("block_id", F.array_join(F.array_sort("rare"), ",").alias("rare"))
 
@@ -388,7 +394,7 @@ def strip_texts(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        chunk_sentences, chunk_delimited, chunk_line_windows, tokenize_counts, block_idf, lexical_scores, pinned_chunks, pinned_default, rare_entities, budget_topk,
+        chunk_sentences, chunk_delimited, chunk_line_windows, tokenize_counts, block_idf, lexical_scores, pinned_chunks, pinned_default, pinned_default_all, rare_entities, budget_topk,
         select_flagship, select_embedded, dropped_runs, selection_stats, tokens_saved, marker_accounting, keep_sweep, tier_keep, conv_route, conv_trim, conv_trim_summary,
         conv_trim_parts, freeze_first_sight, freeze_decisions, duplicate_payloads, sweep_edits, sweep_cut_point, live_question_asof, docset_spans, docset_filter, docset_compress,
         pad_context, build_context, pool_antijoin, gold_recall, ab_metrics, grade_hist, pair_order, last_json, dense_scores, dense_topk, admit_tool_output, admission_eligible,
