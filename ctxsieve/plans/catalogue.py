@@ -288,6 +288,14 @@ def gold_recall(spark, sf_dir):
     return done.select("block_id", F.contains("text", said).cast("int").alias("gold_total"), (F.contains("text", said) & F.contains("new_text", said)).cast("int").alias("gold_kept"))
 
 
+def gold_recall_whole(spark, sf_dir):
+    """The whole item as gold: kept if each of its sentences is, as a rebuilt text joins chunks anew."""
+    done = selection.select_blocks(_blocks(spark, sf_dir), 0.6, CFG)
+    held = F.contains("text", "query")
+    kept = F.forall(sentences(F.col("query")), lambda x: F.contains("new_text", x))
+    return done.select("block_id", held.cast("int").alias("gold_total"), (held & kept).cast("int").alias("gold_kept"))
+
+
 def _pairs(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").dropDuplicates(["doc_id"])
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
@@ -397,7 +405,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chunk_sentences, chunk_delimited, chunk_line_windows, tokenize_counts, block_idf, lexical_scores, pinned_chunks, pinned_default, pinned_default_all, rare_entities, budget_topk,
         select_flagship, select_embedded, dropped_runs, selection_stats, tokens_saved, marker_accounting, keep_sweep, tier_keep, conv_route, conv_trim, conv_trim_summary,
         conv_trim_parts, freeze_first_sight, freeze_decisions, duplicate_payloads, sweep_edits, sweep_cut_point, live_question_asof, docset_spans, docset_filter, docset_compress,
-        pad_context, build_context, pool_antijoin, gold_recall, ab_metrics, grade_hist, pair_order, last_json, dense_scores, dense_topk, admit_tool_output, admission_eligible,
+        pad_context, build_context, pool_antijoin, gold_recall, gold_recall_whole, ab_metrics, grade_hist, pair_order, last_json, dense_scores, dense_topk, admit_tool_output, admission_eligible,
         replay_sessions, replay_report, dataset_page, stream_freeze, stream_event_windows, strip_texts,
     )
 }
