@@ -1,19 +1,20 @@
 """Near-duplicate groups by b-bit MinHash, with links confirmed on full shingle sets.
 
-1. One pass over the texts gives each document its set size, a 128-bit hash of its set,
-   ``bands`` band keys of ``rows`` minima each, and the two low bits of all minima packed
-   into longs.  At the similarity asked for, a pair misses every band with a chance of
-   (1 - 0.8**4)**32 = 5e-8.
-2. Equal sets collapse to a class; copies meet no other step until the end.
-3. Classes that share a band key meet in its bucket.  Buckets of three bands together
-   hold mostly linked classes; each member is paired with a few pivots of the bucket, not
-   with all.  Packed signatures are compared by bit counts: similarity is (share of equal
-   fields - 1/4) / (3/4), and only pairs far below the threshold are let go.  The others
-   are confirmed on full sets, and links give components.
-4. Buckets of one band that still hold several components go on.  Small ones pair up the
-   members of different components; large ones are compared block by block inside tasks,
-   which give out only links that join components.  So no link between components is
-   lost however large a bucket is, and no group is written out as pairs.
+1. One pass over the texts gives each document its set size, a 128-bit BLAKE2 digest of its
+   words, ``bands`` band keys of ``rows`` minima each, and the two low bits of all minima
+   packed into longs.  At the similarity asked for, a pair misses every band with a chance
+   of (1 - 0.8**4)**32 = 5e-8.
+2. Equal word sequences collapse to a class; copies meet no other step until the end.
+3. Classes that share a band key meet in its bucket.  Each member is paired with the pivot
+   of its bucket, and with a few pivots of the narrower buckets of three bands together,
+   not with all members.  Packed signatures are compared by bit counts: similarity is
+   (share of equal fields - 1/4) / (3/4), and only pairs far below the threshold are let
+   go.  The others are confirmed on full sets, and links give components.
+4. Buckets that still hold several components go on.  Small ones pair up the members of
+   different components.  Of large ones, blocks of signatures are compared inside tasks:
+   first for one pair of each two components that seem linked, then, between components
+   that this has not joined, for all pairs that pass the bit counts.  Texts are fetched
+   for those pairs only, and no link between components is lost however large a bucket is.
 
 Loops cut their lineage with checkpoints in the shared folder.
 """
@@ -21,13 +22,14 @@ Loops cut their lineage with checkpoints in the shared folder.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut, keyed, release, ship
+from .session import cut, keyed, numbered, release, ship, unused
 from .words import U64, chunks, hash_windows, hash_words, mix, utf8, word_spans
 
 BANDS, ROWS = 32, 4
@@ -38,7 +40,7 @@ _FACTORS = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, _MINIMA +
 #: Estimates lie under this for a pair at 0.8 once in about 1e9 (six standard deviations).
 _FLOOR = 0.55
 _SIGNATURE = [f"s{i}" for i in range(_LONGS)]
-_PIVOTS, _SMALL_BUCKET, _BLOCK = 2, 32, 64
+_PIVOTS, _SMALL_BUCKET, _BLOCK = 2, 32, 2048
 
 
 def shingle_sets(column, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,42 +64,49 @@ def shingle_sets(column, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(hashes: np.ndarray, bounds: np.ndarray):
-    """For each set: two hashes of the whole set, band keys, packed low bits of the minima."""
+    """For each set: band keys, and packed low bits of the minima."""
     n = len(bounds) - 1
     full = np.flatnonzero(np.diff(bounds))
-    whole, keys, packed = np.zeros((2, n), U64), np.zeros((n, BANDS), U64), np.zeros((n, _LONGS), U64)
+    keys, packed = np.zeros((n, BANDS), U64), np.zeros((n, _LONGS), U64)
     if len(full):
         at, minima = bounds[full], np.empty((_MINIMA, len(full)), U64)
         for i in range(_MINIMA):
             minima[i] = np.minimum.reduceat(hashes * _FACTORS[i], at)
-        whole[0, full] = np.add.reduceat(mix(hashes), at)
-        whole[1, full] = np.bitwise_xor.reduceat(mix(hashes ^ _FACTORS[0]), at)
         for b in range(BANDS):
             joined = sum(minima[b * ROWS + r] * _FACTORS[_MINIMA + r] for r in range(ROWS))
             keys[full, b] = mix(joined + U64(b + 1))
         fields = mix(minima) & U64((1 << _BITS) - 1)
         for i in range(_MINIMA):
             packed[full, i * _BITS // 64] |= fields[i] << U64(i * _BITS % 64)
-    return whole, keys, packed
+    return keys, packed
+
+
+def sequence_digests(column) -> np.ndarray:
+    """Two longs of a digest of each text's lower-cased words, joined by one space."""
+    data, offsets = utf8(column)
+    raw = data.tobytes().lower()
+    ends = offsets.tolist()
+    digests = b"".join(blake2b(b" ".join(raw[i:j].split()), digest_size=16).digest() for i, j in zip(ends, ends[1:]))
+    return np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
 def _features(rows: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row_id", "doc_id", "n_shingles", "set_a", "set_b", *_SIGNATURE, "bands"]
+        names = ["row_id", "doc_id", "n_shingles", "seq_a", "seq_b", *_SIGNATURE, "bands"]
         for batch in batches:
             _, offsets = utf8(batch.column(2))
             for i, j in chunks(offsets):
                 part = batch.slice(i, j - i)
                 hashes, bounds = shingle_sets(part.column(2), k)
-                whole, keys, packed = signatures(hashes, bounds)
-                n = np.diff(bounds)
+                keys, packed = signatures(hashes, bounds)
+                n, digests = np.diff(bounds), sequence_digests(part.column(2))
                 sizes = np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in whole),
+                    [part.column(0), part.column(1), pa.array(n, pa.int64()), *(pa.array(digests[:, x].copy()) for x in range(2)),
                      *(pa.array(packed[:, x].copy().view(np.int64)) for x in range(_LONGS)),
                      pa.ListArray.from_arrays(sizes, pa.array(keys[n > 0].reshape(-1).view(np.int64)))], names)
 
-    longs = ", ".join(f"{c} long" for c in ("row_id", "doc_id", "n_shingles", "set_a", "set_b", *_SIGNATURE))
+    longs = ", ".join(f"{c} long" for c in ("row_id", "doc_id", "n_shingles", "seq_a", "seq_b", *_SIGNATURE))
     return rows.mapInArrow(run, f"{longs}, bands array<long>")
 
 
@@ -112,7 +121,7 @@ def estimate(left: str, right: str) -> Column:
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the bit counts and then the full sets."""
+    """``a, b, linked`` of the pairs (a, b) that pass the bit counts: do their full sets pass?"""
     side = lambda name: nodes.select(F.col("rep").alias(name), F.struct(*_SIGNATURE).alias(f"sig_{name}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").where(estimate("sig_a", "sig_b") >= _FLOOR).select("a", "b")
     with_texts = likely.join(texts.select(F.col("row_id").alias("a"), F.col("text").alias("text_a")), "a").join(
@@ -129,109 +138,99 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, per
                     p, q = x[at[d] : at[d + 1]], y[to[d] : to[d + 1]]
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     good.append(100 * both >= percent * (len(p) + len(q) - both) and both > 0)
-                yield pa.RecordBatch.from_arrays([c.slice(i, j - i).filter(pa.array(good, pa.bool_())) for c in (batch.column(0), batch.column(1))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(good, pa.bool_())], ["a", "b", "linked"])
 
-    return with_texts.mapInArrow(run, "a long, b long")
+    return with_texts.mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _narrow_keys(reps: DataFrame) -> DataFrame:
-    """``rep, key``: keys of three neighbouring bands, which few unlinked pairs share."""
-    three = lambda i: F.xxhash64(i, *(F.get("bands", (i + j) % BANDS) for j in range(3)))
-    return reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), three)).alias("key"))
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _stars(keys: DataFrame) -> DataFrame:
-    """Different pairs (a, b) of each member of a bucket with a few pivots of the bucket."""
+def _stars(reps: DataFrame, active: DataFrame) -> DataFrame:
+    """Different pairs (a, b) of members with pivots of their buckets, of one band and of three neighbouring ones.
+
+    Three bands together hold mostly linked classes, and few unlinked pairs share them.
+    """
+    three = lambda i: F.xxhash64(i, *(F.get("bands", (i + j) % BANDS) for j in range(3)))
+    keys = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), three)).alias("key"))
     chosen = F.array(*(F.min_by("rep", F.xxhash64("rep", F.lit(i))) for i in range(_PIVOTS)))
     pivots = keys.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y"), chosen.alias("pivots")).where("x != y")
-    met = keys.join(pivots.select("key", F.explode(F.array_distinct("pivots")).alias("pivot")), "key").where("rep != pivot")
-    return met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    narrow = keys.join(pivots.select("key", F.explode(F.array_distinct("pivots")).alias("pivot")), "key").where("rep != pivot")
+    wide = active.where("rep != pivot")
+    return narrow.select(*_ordered("rep", "pivot")).union(wide.select(*_ordered("rep", "pivot"))).distinct()
 
 
-def _blocks(large: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between different components within buckets too large to pair up as rows.
+def _near_pairs(large: DataFrame, nodes: DataFrame, percent: int, spanning: bool) -> DataFrame:
+    """Pairs (a, b) of different components within large buckets ``(key, n, rep, component)`` that pass the bit counts.
 
-    Large buckets that share members are one cluster; its members are dealt to blocks, and
-    each pair of blocks is one group in which all sets are compared at once.  What comes
-    out joins components, so a group gives fewer links than it has members.
+    A bucket's members are dealt to blocks, and each two blocks are one group of signatures.
+    ``spanning`` gives one pair, the most alike, for each two components met, until pairs
+    given join all of a group's components; otherwise every pair is given.
     """
-    member = large.select("rep", "component").distinct()
-    # a member's pivots are tied to the first of them, and the member to that one
-    pivots = large.groupBy("rep").agg(F.min("pivot").alias("first"))
-    tied = large.join(pivots, "rep").where("first != pivot").select(F.col("first").alias("a"), F.col("pivot").alias("b")).distinct()
-    cluster = components(tied.union(pivots.where("rep != first").select("rep", "first"))).withColumnRenamed("node", "rep")
-    member = cut(member.join(cluster.select("rep", F.col("component").alias("cluster")), "rep"))
-    sizes = member.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(_BLOCK)).cast("int").alias("blocks"))
-    dealt = member.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(texts.withColumnRenamed("row_id", "rep"), "rep")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = dealt.select("cluster", "block", other, "rep", "component", "text").select(
-        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "text")
+    blocks = F.ceil(F.col("n") / F.lit(_BLOCK)).cast("int")
+    dealt = large.join(nodes, "rep").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n_shingles", *_SIGNATURE)
+    most_differ = int((1 - _FLOOR) * (1 - 1 / (1 << _BITS)) * _MINIMA)
 
     def compare(table: pa.Table) -> pa.Table:
-        side = np.asarray(table.column("block")) == table.column("i")[0].as_py()
-        within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        rep, component = np.asarray(table.column("rep")), np.asarray(table.column("component"))
-        found: list[tuple[int, int]] = []
-        one, two = np.flatnonzero(side), np.arange(len(rep)) if within else np.flatnonzero(~side)
-        if len(np.unique(component)) > 1:
-            hashes, bounds = shingle_sets(table.column("text"), k)
-            _, ids = np.unique(hashes, return_inverse=True)
-            sizes = np.diff(bounds)
-            sets = [ids[bounds[d] : bounds[d + 1]] for d in range(len(rep))]
-            held, root = np.zeros(ids.max() + 1 if len(ids) else 1, bool), {int(c): int(c) for c in component}
-
-            def top(c: int) -> int:
-                while root[c] != c:
-                    c = root[c]
-                return c
-
-            for a in one:
-                # sizes alone rule out most partners of another length
-                near = [b for b in two if b != a and 100 * min(sizes[a], sizes[b]) >= percent * max(sizes[a], sizes[b])]
-                near = [b for b in near if top(int(component[a])) != top(int(component[b]))]
-                if not near:
-                    continue
-                held[sets[a]] = True
-                for b in near:
-                    if top(int(component[a])) != top(int(component[b])):
-                        both = int(held[sets[b]].sum())
-                        if both and 100 * both >= percent * (int(sizes[a]) + int(sizes[b]) - both):
-                            root[top(int(component[a]))] = top(int(component[b]))
-                            found.append((int(rep[a]), int(rep[b])))
-                held[sets[a]] = False
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-
-    return cut(met.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long"))
+        column = lambda c: np.asarray(table.column(c))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        rep, size, block = column("rep"), column("n_shingles"), column("block")
+        names, component = np.unique(column("component"), return_inverse=True)
+        packed = np.stack([column(c).view(U64) for c in _SIGNATURE], 1)
+        root = np.arange(len(names))  # of components, as if all pairs given were linked
+        two, out_a, out_b = np.flatnonzero(block == j), [], []
+        for a in np.flatnonzero(block == i) if len(names) > 1 else ():
+            fits = (root[component[two]] != root[component[a]]) & (100 * np.minimum(size[two], size[a]) >= percent * np.maximum(size[two], size[a]))
+            near = two[fits & ((rep[two] > rep[a]) if i == j else True)]
+            x = packed[near] ^ packed[a]
+            differ = np.bitwise_count((x | x >> U64(1)) & U64(0x5555555555555555)).sum(1)
+            near, differ = near[differ <= most_differ], differ[differ <= most_differ]
+            if spanning and len(near):
+                near = near[np.argsort(differ, kind="stable")]
+                near = near[np.unique(component[near], return_index=True)[1]]
+                for c in np.unique(root[component[near]]):
+                    root[root == c] = root[component[a]]
+            out_a += [rep[a]] * len(near)
+            out_b += rep[near].tolist()
+        a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` of every node of ``links (a, b)``; the label is some node of the component.
 
-    Each round gives every node the neighbour that comes first in a hashed order, follows
-    that three steps on, and contracts the links to those between different labels.  The
-    hashed order keeps chains of such steps short, and the links shrink from round to round.
+    Each round gives every node the neighbour that comes first in a hashed order, if that
+    comes before the node itself, and contracts the links to those between different
+    labels.  The hashed order keeps chains short, and links shrink from round to round.
     """
-    links = cut(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = links.where("a != b").select(*_ordered("a", "b")).distinct()
     labels = None
     while True:
         both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
         nearest = both.groupBy("node").agg(F.min_by("other", F.xxhash64("other")).alias("first"))
         parent = cut(nearest.select("node", F.when(F.xxhash64("first") < F.xxhash64("node"), F.col("first")).otherwise(F.col("node")).alias("parent")))
-        up = parent.toDF("parent", "second").join(parent.toDF("second", "third"), "second").select("parent", "third")
-        parent = cut(parent.join(up, "parent").select("node", F.col("third").alias("parent")))
         if labels is None:
             labels = parent.toDF("node", "component")
         else:
             labels = labels.join(parent.toDF("component", "parent"), "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
-        for end in ("a", "b"):
-            links = links.join(parent.toDF(end, "label"), end).drop(end).withColumnRenamed("label", end)
-        links = cut(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        release(links.sparkSession)
+        ends = links.join(parent.toDF("a", "x"), "a").join(parent.toDF("b", "y"), "b")
+        links = cut(ends.where("x != y").select(*_ordered("x", "y")).distinct())
         if links.isEmpty():
             return cut(labels)
 
 
+def _placed(active: DataFrame, labels: DataFrame, least_size: int) -> DataFrame:
+    """``key, n, rep, component`` of the buckets of ``least_size`` members or more that hold several components."""
+    placed = active.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where((F.col("x") != F.col("y")) & (F.col("n") >= least_size))
+    return placed.join(several.select("key", "n"), "key")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row_id, doc_id, n_shingles, component, component_id, kept``, one row per input row.
 
@@ -243,41 +242,54 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     like any others; a null id is never least unless its whole component is null.
     ``component`` is a row_id of the component, so it tells groups apart whatever their ids.
     """
-    ship(docs.sparkSession)
-    rows = keyed(docs, id_col, text_col)
+    return _grouped(keyed(docs, id_col, text_col), shingle, percent)
+
+
+def _grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``near_duplicates`` of ``rows (row_id, doc_id, text)``, whose ids are the same wherever it is read."""
+    spark = rows.sparkSession
+    ship(spark)
     features = cut(_features(rows, shingle))
-    same = ["set_a", "set_b", "n_shingles"]
+    same = ["seq_a", "seq_b"]
     classes = cut(features.where("n_shingles > 0").groupBy(*same).agg(F.min("row_id").alias("rep"), F.min("doc_id").alias("low")))
     reps = features.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").withColumnRenamed("row_id", "rep")
     keys = reps.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot != last").select("key", "pivot")
     active = cut(keys.join(shared, "key"))
     members = active.select("rep").distinct()
-    nodes = cut(reps.join(members, "rep", "left_semi").select("rep", *_SIGNATURE))
+    nodes = cut(reps.join(members, "rep", "left_semi").select("rep", "n_shingles", *_SIGNATURE, "bands"))
     texts = cut(rows.join(nodes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select("row_id", "text"))
+    nodes, bands = nodes.drop("bands"), nodes.select("rep", "bands")
+    release(spark)
 
-    release(docs.sparkSession)
-    narrow = _narrow_keys(reps.join(members, "rep", "left_semi").select("rep", "bands"))
-    links = cut(_confirmed(_stars(narrow), nodes, texts, shingle, percent))
+    tried = cut(_confirmed(_stars(bands, active), nodes, texts, shingle, percent))
+    links = tried.where("linked")
     labels = components(links)
+    release(spark)
 
-    placed = active.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), F.min("rep").alias("pivot"))
-    open_ = cut(placed.join(several.where("x != y").select("key", "n", "pivot"), "key"))
+    open_ = cut(_placed(active, labels, 3))  # a pair alone in a bucket has been tried
     small, large = open_.where(F.col("n") <= _SMALL_BUCKET), open_.where(F.col("n") > _SMALL_BUCKET)
     one, two = (small.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component"))) for s in ("a", "b"))
-    pairs = one.join(two, "key").where("rep_a < rep_b and component_a != component_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    more = cut(_confirmed(pairs.distinct(), nodes, texts, shingle, percent))
-    release(docs.sparkSession)
+    pairs = one.join(two, "key").where("rep_a < rep_b and component_a != component_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     if not large.isEmpty():
-        more = more.union(_blocks(large, texts, shingle, percent))
-    labels = components(links.union(more))
+        pairs = pairs.union(_near_pairs(large, nodes, percent, spanning=True)).distinct()
+    if not open_.isEmpty():
+        more = cut(_confirmed(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), nodes, texts, shingle, percent))
+        tried, links = tried.union(more), links.union(more.where("linked"))
+        labels = components(links)
+        release(spark)
+        large = cut(_placed(active.join(large.select("key").distinct(), "key", "left_semi"), labels, _SMALL_BUCKET + 1))
+        if not large.isEmpty():
+            rest = _near_pairs(large, nodes, percent, spanning=False).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+            links = links.union(_confirmed(rest, nodes, texts, shingle, percent).where("linked"))
+            labels = components(links)
+            release(spark)
 
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least = cut(of_class.groupBy("component").agg(F.min("low").alias("component_id")))
-    of_class = of_class.join(least, "component").select(*same, "component", "component_id")
+    least = of_class.groupBy("component").agg(F.min("low").alias("component_id"))
+    of_class = cut(of_class.join(least, "component").select(*same, "component", "component_id"))
     return (
-        features.select("row_id", "doc_id", *same)
+        features.select("row_id", "doc_id", "n_shingles", *same)
         .join(of_class, same, "left")
         .select("row_id", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("row_id")).alias("component"),
                 F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -285,9 +297,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     )
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` of each group, with all its columns; every row without a word stays."""
-    found = near_duplicates(docs, **options).where("kept")
-    first = found.groupBy("component").agg(F.min("row_id").alias("_first")).select("_first")
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(first, F.col("_row") == F.col("_first"), "left_semi").drop("_row")
+    row = unused(docs, "row")
+    copy = numbered(docs, row)
+    rows = copy.select(F.col(row).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = _grouped(rows, shingle, percent).where("kept")
+    first = found.groupBy("component").agg(F.min("row_id").alias(row)).select(row)
+    return copy.join(first, row, "left_semi").drop(row)

@@ -18,7 +18,7 @@ A bucket holds some MB of texts picked by row key.  It sends each distinct hash
 with a flag for "twice in here", so thousands of copies of a passage become one entry
 per bucket and no range or bucket grows with a passage's popularity.  What comes back
 is one bit per hash, in the order of the sorted hashes.  Anchors are 64-bit (a
-collision costs work, never a result), full windows 96-bit.
+collision costs work, never a result), full windows 96-bit, of two independent hashes.
 """
 
 from __future__ import annotations
@@ -127,7 +127,7 @@ def _extended(table: pa.Table, bits: pa.Table, window: int, period: int, ranges:
     np.cumsum(marked, out=total[1:])
     starts = np.flatnonzero(left >= window)
     starts = starts[total[starts + period] > total[starts]]
-    high, low = hash_windows(words, window)[starts], hash_windows(words, window, second=True)[starts]
+    high, low = hash_windows(words, window)[starts], hash_windows(hashed(table.column("text"), second=True)[0], window)[starts]
     return first, len(words), starts, high, (low >> U64(32)).astype(np.uint32)
 
 

@@ -1,44 +1,32 @@
 """Vectorised word splitting and hashing over the UTF-8 bytes of whole Arrow columns.
 
-Word separators are ASCII bytes, so splitting bytes is splitting text.  A word's
-hash is a polynomial over random 64-bit byte codes, taken as a difference of prefix
-sums modulo 2**64; windows are hashed the same way over word hashes.
+Word separators are ASCII bytes, so splitting bytes is splitting text.  A word's first
+16 bytes and its length go through a 64-bit mixer; a longer word is hashed by BLAKE2.
+Windows are hashed as trees over word hashes.  Both have no algebraic structure that
+would make texts of some form collide.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240607))
-_CODES = _RNG.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
-_BYTE_BASE, _WORD_BASE, _WORD_BASE_2 = (int(x) | 5 for x in _RNG.integers(2**40, 2**63, 3, dtype=U64))
-_LOWER = np.arange(256)
+#: Odd constants: for each of two independent word hashes four, and four for windows.
+_WORD_KEYS = [[U64(int(x) | 1) for x in _RNG.integers(2**40, 2**63, 4, dtype=U64)] for _ in range(2)]
+_JOIN_KEYS = [U64(int(x) | 1) for x in _RNG.integers(2**40, 2**63, 4, dtype=U64)]
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_CODES_LOWER = _CODES[_LOWER]
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+_SHORT = 16
 
 #: True where a byte belongs to a word: everything but space and \x09-\x0D.
 BLANK_SEPARATED = np.ones(256, bool)
 BLANK_SEPARATED[[32, 9, 10, 11, 12, 13]] = False
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``base**i`` and its inverse modulo 2**64 for i up to n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) <= n:
-        size = max(1 << 16, 1 << int(n).bit_length())
-        inverse = pow(base, -1, 1 << 64)
-        steps = [np.full(size + 1, b, U64) for b in (base, inverse)]
-        for x in steps:
-            x[0] = 1
-        have = tuple(np.cumprod(x, dtype=U64) for x in steps)
-        if size <= 1 << 22:
-            _powers[base] = have
-    return have
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the result."""
@@ -84,33 +72,54 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = BLAN
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    power, inverse = _power_tables(_BYTE_BASE, len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum((_CODES_LOWER if lower else _CODES)[data] * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts])
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, second: bool = False) -> np.ndarray:
+    """64-bit hashes of words; ``second`` gives another, independent one."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    keys = _WORD_KEYS[second]
+    raw = np.concatenate((_LOWER[data] if lower else data, np.zeros(24, np.uint8)))
+    lanes = np.lib.stride_tricks.as_strided(raw[:8].view(U64), (len(data) + 16,), (1,))  # eight bytes from each place on
+    n = ends - starts
+    head = lanes[starts] & _MASKS[np.minimum(n, 8)]
+    tail = lanes[starts + 8] & _MASKS[np.clip(n - 8, 0, 8)]
+    out = mix(mix(head + keys[0]) * keys[1] + mix(tail + keys[2]) + n.astype(U64) * keys[3])
+    for i in np.flatnonzero(n > _SHORT):
+        digest = blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        out[i] = int.from_bytes(digest[8:] if second else digest[:8], "little")
+    return out
+
 
+def _joined(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    return mix(left * _JOIN_KEYS[0] + (right ^ (right >> U64(32))) * _JOIN_KEYS[1] + U64(size * int(_JOIN_KEYS[2]) % (1 << 64)))
 
-def hash_windows(words: np.ndarray, k: int, second: bool = False) -> np.ndarray:
-    """Hash of words i to i+k-1 for each i; windows over a document's end mean nothing."""
-    if len(words) < k:
-        return np.zeros(0, U64)
-    base = _WORD_BASE_2 if second else _WORD_BASE
-    power, inverse = _power_tables(base, len(words) + 1)
-    total = np.zeros(len(words) + 1, U64)
-    np.cumsum(words * power[: len(words)], out=total[1:])
-    n = len(words) - k + 1
-    return mix((total[k:] - total[:n]) * inverse[:n])
 
+def hash_windows(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of words i to i+k-1 for each i; windows over a document's end mean nothing.
 
-def hashed(column, lower: bool = False, size: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    Runs of 1, 2, 4, ... words are joined to k by the binary digits of k.
+    """
+    n = len(words) - k + 1
+    if n < 1:
+        return np.zeros(0, U64)
+    out, done, run, size = None, 0, words, 1
+    while True:
+        if k & size:
+            out = run if out is None else _joined(out[: len(run) - done], run[done:], done)
+            done += size
+        if done == k:
+            return out[:n]
+        run = _joined(run[: len(run) - size], run[size:], size)
+        size *= 2
+
+
+def hashed(column, lower: bool = False, size: int = 1 << 19, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all documents of a column, and the index of each one's first word."""
     data, offsets = utf8(column)
     hashes, first, seen = [np.zeros(0, U64)], [np.zeros(1, np.int64)], 0
     for i, j in chunks(offsets, size):
         part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, ends, heads = word_spans(part, at)
-        hashes.append(hash_words(part, starts, ends, lower))
+        hashes.append(hash_words(part, starts, ends, lower, second))
         first.append(heads[1:] + seen)
         seen += len(starts)
     return np.concatenate(hashes), np.concatenate(first)

@@ -338,3 +338,22 @@ def test_same_rows_as_sql(spark, name):
 
     data = "/root/testdata/sf0.001"
     assert compare.difference(QUERIES[name](spark, data), compare.connect(data), ORACLES[name]) == ""
+
+
+def thue_morse(n):
+    """A word over two letters, and its complement; polynomial hashes modulo powers of two take them for equal."""
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_some_hashes_take_for_equal(spark, n):
+    one, two = thue_morse(n)
+    plain = " ".join(f"w{i}" for i in range(17))
+    df = table(spark, [one, two, *(f"{plain} {x} {plain}" for x in (one, two)), " ".join(one), " ".join(two)])
+    words = [substring_dedup.dedup_substrings(df.where(f"doc_id in ({a}, {a + 1})")).orderBy("doc_id").collect() for a in (0, 2)]
+    assert [r.n_removed for pair in words for r in pair] == [0, 0, 0, 0]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df.where("doc_id < 4"), shingle=1, percent=100).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3}
