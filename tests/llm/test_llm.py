@@ -127,8 +127,9 @@ def test_pieces(docs):
     assert len(given) > 5 and [i for x in given for i in x] == full_search(model, long)
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
-def test_decontamination(spark, docs, limit):
+@pytest.mark.parametrize("limit", [32 << 20, 2000, 0])
+def test_decontamination(spark, docs, limit, monkeypatch):
+    monkeypatch.setattr(decontamination, "_PART", 5)  # the commonest words are dealt to several parts
     texts = corpus()
     items = [(1, " ".join(texts[0].split()[20:45])), (2, "ONE"), (3, None), (4, ""), (None, "B! c"), (5, "B! c"), (6, "nowhere to be found")]
     benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(1)).withColumn("token", F.lit("x"))
@@ -147,7 +148,7 @@ def test_decontamination(spark, docs, limit):
                     hit.update(range(i, i + k))
                     found |= windows[tuple(w[i : i + k])]
         want[r.doc_id] = (len(w), len(hit), sorted(found))
-    got = decontamination.find_contamination(docs, benchmark, broadcast_rows=limit).collect()
+    got = decontamination.find_contamination(docs, benchmark, broadcast_bytes=limit).collect()
     assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in got} == want
     clean = decontamination.drop_contaminated(docs, benchmark)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {k for k, v in want.items() if not v[1]}
