@@ -9,7 +9,9 @@ two neighbouring characters that stand side by side in no piece every path has a
 boundary, so such places are cut ahead, and the stretches between them are cached.
 
 Characters without a piece become their UTF-8 bytes' pieces.  The space mark itself, if
-it stands in a text, is written that way too, so that decoding restores every text.
+it stands in a text, is written that way too, so that decoding restores every text.  In a
+model without byte pieces they become the unknown piece, and ``round_trip`` is false.  A
+model with pieces that span words is rejected, as texts are cut into words first.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ _OWN_MARK = "▁"
 #: Characters read before the first look for a common boundary, and between looks.
 _WINDOW = 64
 #: Entries of each of the two generations of the cache, and the longest stretch kept.
-CACHE_ENTRIES, CACHE_CHARS = 350_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
 _RUN = re.compile(r" +[^ ]*")
 _OWN_MARK = re.compile(f"({MARK})")
 
@@ -53,6 +55,9 @@ class Lexicon:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.pieces[piece] = (model.get_score(i), i)
                 self.text[i] = piece.replace(MARK, " ").encode()
+        if any(MARK in p.lstrip(MARK) for p in self.pieces):
+            raise ValueError("a piece spans words; words can't be encoded alone")
+        self.unknown_id = model.unk_id()
         self.unknown = min((s for s, _ in self.pieces.values()), default=0.0) - 10.0
         self.longest = max(map(len, self.pieces), default=1)
         self.trie: dict[str, list] = {}  # character: [what follows, score and id of the piece that ends here]
@@ -66,7 +71,8 @@ class Lexicon:
         self.older: dict[str, tuple[int, ...]] = {}
 
     def spell(self, char: str) -> tuple[int, ...]:
-        return tuple(self.bytes[b] for b in char.encode())
+        spelt = tuple(self.bytes.get(b, self.unknown_id) for b in char.encode())
+        return (self.unknown_id,) if self.unknown_id in spelt else spelt
 
     def search(self, text: str) -> Iterator[list[int]]:
         """Ids of ``text`` (with marks for spaces), given out as paths converge.

@@ -2,11 +2,13 @@
 
 Two logistic models, for low quality and for toxic text, are fitted on at most
 ``max_train`` labelled documents: measures of style, and the presence of the words most
-tied to a label, or of words that begin alike.  They give each document the log-odds that its text adds for "reject".
-Grouped sums then give each host, and each path of a host, the posterior mean of its
-reject share: a host's is shrunk toward the global one as if it had ``host_prior`` more
-documents, a path's toward its host's with ``path_prior``.  A document's verdict combines
-its own evidence with the prior of its path.
+tied to a label, or of words that begin alike.  They give each document the log-odds that
+its text adds for "reject".  Grouped sums then give each host, and each path of a host, the
+posterior mean of its reject share: a host's is shrunk toward the global one as if it had
+some more documents of that share, a path's toward its host's.  How many is estimated from
+all documents by moments: the variance within sites over the variance between them, beyond
+what chance alone would give.  A document's verdict combines its own evidence with the prior
+of its path.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut, ship
+from .session import cut, numbered, ship, unused
 
 _STYLE = 12
+#: The most documents that a prior counts for, as where sites do not differ.
+_MOST = 1e6
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGITS, _CAPITALS = str.maketrans("", "", "0123456789"), str.maketrans("", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>{}[]\\^~=_@")
@@ -42,24 +46,52 @@ def style(text: str) -> list[float]:
     ]
 
 
+def forms(word: str) -> list[str]:
+    """A word, and the beginnings of a longer one, marked by a tilde."""
+    return [word, *(f"{word[:n]}~" for n in (5, 7) if len(word) > n)]
+
+
 def words_of(text: str) -> set[str]:
-    """Different words of a text, and the beginnings of its longer ones, marked by a tilde."""
-    words = set(_WORD.findall(text.lower()))
-    return words | {f"{w[:n]}~" for w in words for n in (5, 7) if len(w) > n}
+    """Forms of the different words of a text."""
+    return {x for w in set(_WORD.findall(text.lower())) for x in forms(w)}
+
+
+class Known(dict):
+    """For each word the indices of its forms in a vocabulary; looked up once while the cache holds it."""
+
+    def __init__(self, vocabulary: list[str], entries: int = 200_000) -> None:
+        super().__init__()
+        self.at, self.entries = {w: i for i, w in enumerate(vocabulary)}, entries
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= self.entries:
+            self.clear()
+        self[word] = found = tuple(self.at[x] for x in forms(word) if x in self.at)
+        return found
+
+    def of(self, text: str) -> set[int]:
+        found: set[int] = set()
+        for w in set(_WORD.findall(text.lower())):
+            if hits := self[w]:
+                found.update(hits)
+        return found
+
+    def __reduce__(self):
+        return Known, (list(self.at), self.entries)
 
 
 class Evidence:
     """Fitted models: log-odds for "reject" that a text adds to the base rate."""
 
     def __init__(self, vocabulary: list[str], mean: np.ndarray, scale: np.ndarray, heads: list[tuple[np.ndarray, float]], base: float) -> None:
-        self.at = {w: i for i, w in enumerate(vocabulary)}
+        self.known = Known(vocabulary)
         self.mean, self.scale, self.heads, self.base = mean, scale, heads, base
 
     def features(self, text: str) -> np.ndarray:
-        x = np.zeros(_STYLE + len(self.at))
+        x = np.zeros(_STYLE + len(self.known.at))
         x[:_STYLE] = np.clip((np.array(style(text)) - self.mean) / self.scale, -6, 6)
-        for w in self.at.keys() & words_of(text) if self.at else ():
-            x[_STYLE + self.at[w]] = 1.0
+        for i in self.known.of(text) if self.known.at else ():
+            x[_STYLE + i] = 1.0
         return x
 
     def added(self, text: str) -> float:
@@ -90,11 +122,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 30)
 
 
 def fit_evidence(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_train: int, max_words: int) -> Evidence:
-    """Fit on the ``max_train`` labelled documents that come first by the hash of their id."""
+    """Fit on the ``max_train`` labelled ids that come first by their hash; of rows with one id, the least text counts."""
     known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     low, toxic = F.coalesce((F.col("quality") == 0).cast("int"), F.lit(0)), F.coalesce((F.col("toxic") == 1).cast("int"), F.lit(0))
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
     sample = cut(sample.select("text", low.alias("low"), toxic.alias("toxic")))
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,28 +171,61 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
 
 def empty_features(text: str, vocabulary: list[str]) -> list[float]:
     """Style measures, then the indices of the vocabulary's words that the text has."""
-    at = {w: i for i, w in enumerate(vocabulary)}
-    return [*style(text), *(float(at[w]) for w in at.keys() & words_of(text))]
+    return [*style(text), *map(float, Known(vocabulary).of(text))]
+
+
+def strengths(sites: DataFrame) -> tuple[float, float, float]:
+    """Global share, and the documents that a host's and a path's prior count for.
+
+    ``sites`` has ``host, path`` and the sum ``s``, sum of squares ``q`` and number ``n`` of its
+    documents' shares.  With variance v within groups and t between them (by moments, as in
+    an analysis of variance), a group of n documents weighs n / (n + v / t).
+    """
+    hosts = sites.groupBy("host").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.count("*").alias("paths"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("c"),
+        F.sum(F.col("n") * F.col("n").cast("double")).alias("nn"))
+    total = hosts.agg(
+        F.sum("n").alias("n"), F.count("*").alias("hosts"), F.sum("paths").alias("paths"), F.sum("s").alias("s"), F.sum("q").alias("q"),
+        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("a"), F.sum(F.col("n") * F.col("n").cast("double")).alias("b"), F.sum("c").alias("c"), F.sum(F.col("nn") / F.col("n")).alias("d")).first()
+    if not total["n"]:
+        return 0.5, _MOST, _MOST
+    n, share = total["n"], total["s"] / total["n"]
+
+    def strength(between: float, within: float, groups: int, above: int, spread: float) -> float:
+        v = max(within, 0.0) / max(1, n - groups)
+        t = (between - (groups - above) * v) / spread if spread > 0 else 0.0
+        return min(_MOST, max(1.0, v / t)) if t > 0 else _MOST
+
+    host = strength(total["a"] - n * share * share, total["q"] - total["a"], total["hosts"], 1, n - total["b"] / n)
+    path = strength(total["c"] - total["a"], total["q"] - total["c"], total["paths"], total["hosts"], n - total["d"])
+    return share, host, path
 
 
 def classify_quality(
     docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5,
-    max_train: int = 6000, max_words: int = 64, host_prior: float = 50.0, path_prior: float = 50.0, id_col: str = "doc_id", text_col: str = "text",
+    max_train: int = 6000, max_words: int = 64, host_prior: float | None = None, path_prior: float | None = None, id_col: str = "doc_id", text_col: str = "text",
+    broadcast_bytes: int = 16 << 20,
 ) -> DataFrame:
     """``row_id, doc_id, host, path, added, p_host, p_path, p_reject, kept``, one row per input row.
 
     ``labels`` has ``doc_id, quality, toxic`` (1 is good, 1 is toxic); without labels of both
     values nothing is rejected.  ``host`` defaults to ``source`` and ``path`` to ``lang``; null
-    ones form a site of their own.  Null and empty texts are judged by their site and the
-    style of no words; rows that repeat an id are judged alone.
+    ones, or all where there is no such column, form a site of their own.  ``host_prior`` and
+    ``path_prior`` are estimated unless given.  Null and empty texts are judged by their site
+    and the style of no words; rows that repeat an id are judged alone; an empty table gives
+    no rows.
     """
+    return _classified(docs.withColumn(row := unused(docs, "row"), F.monotonically_increasing_id()), row, labels, host, path, threshold, max_train, max_words, host_prior, path_prior, id_col, text_col, broadcast_bytes)
+
+
+def _classified(docs, row, labels, host, path, threshold, max_train, max_words, host_prior, path_prior, id_col, text_col, broadcast_bytes) -> DataFrame:
+    """``classify_quality`` of ``docs`` with ids in the column ``row``, which are read once."""
     ship(docs.sparkSession)
     model = fit_evidence(docs, labels, id_col, text_col, max_train, max_words)
-    host = F.col("source") if host is None else host
-    path = F.col("lang") if path is None else path
+    site = lambda given, name: given if given is not None else F.col(name) if name in docs.columns else F.lit("")
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"),
-        F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        F.col(row).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(site(host, "source").cast("string"), F.lit("")).alias("host"),
+        F.coalesce(site(path, "lang").cast("string"), F.lit("")).alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,20 +237,29 @@ def classify_quality(
     logistic = lambda x: 1 / (1 + F.exp(-x))
     logit = lambda p: F.log(p / (1 - p))
     base = math.log(model.base / (1 - model.base)) if model.heads else -10.0
-    paths = found.groupBy("host", "path").agg(F.sum(logistic(F.col("added") + base)).alias("s"), F.count("*").alias("n"))
-    hosts = paths.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
-    share = logistic(F.lit(base))
-    hosts = hosts.select("host", ((F.col("hs") + host_prior * share) / (F.col("hn") + host_prior)).alias("p_host"))
-    sites = paths.join(hosts, "host").select("host", "path", "p_host", ((F.col("s") + path_prior * F.col("p_host")) / (F.col("n") + path_prior)).alias("p_path"))
+    share = logistic(F.col("added") + base)
+    paths = cut(found.groupBy("host", "path").agg(F.sum(share).alias("s"), F.sum(share * share).alias("q"), F.count("*").alias("n")))
+    overall, by_host, by_path = strengths(paths)
+    by_host, by_path = by_host if host_prior is None else host_prior, by_path if path_prior is None else path_prior
+    hosts = paths.groupBy("host").agg(((F.sum("s") + by_host * overall) / (F.sum("n") + by_host)).alias("p_host"))
+    sites = paths.join(hosts, "host").select("host", "path", "p_host", ((F.col("s") + by_path * F.col("p_host")) / (F.col("n") + by_path)).alias("p_path"))
+    # a site may hold a third of the rows: its key is broadcast if the sites' bytes allow, else left to skew joins
+    small = (paths.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0) <= broadcast_bytes
     bounded = lambda p: F.least(F.lit(0.999), F.greatest(F.lit(1e-5), p))
     return (
-        found.join(sites, ["host", "path"])
+        found.join(F.broadcast(sites) if small else sites, ["host", "path"])
         .withColumn("p_reject", logistic(F.col("added") + logit(bounded(F.col("p_path")))))
         .withColumn("kept", F.col("p_reject") < threshold)
     )
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def drop_low_quality(
+    docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5,
+    max_train: int = 6000, max_words: int = 64, host_prior: float | None = None, path_prior: float | None = None, id_col: str = "doc_id", text_col: str = "text",
+    broadcast_bytes: int = 16 << 20,
+) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    kept = classify_quality(docs, labels, **options).where("kept").select(F.col("row_id").alias("_kept"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
+    row = unused(docs, "row")
+    copy = numbered(docs, row)
+    found = _classified(copy, row, labels, host, path, threshold, max_train, max_words, host_prior, path_prior, id_col, text_col, broadcast_bytes)
+    return copy.join(found.where("kept").select(F.col("row_id").alias(row)), row, "left_semi").drop(row)

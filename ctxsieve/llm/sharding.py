@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import ship
+from .session import cut, ship
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -41,7 +41,7 @@ def jump_shard(key: Column, shards: int) -> Column:
 
 
 def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", name: str = "shard") -> DataFrame:
-    """``docs`` with the shard of each row in a new column ``name``; a null id hashes as 0."""
+    """``docs`` with the shard of each row in the column ``name``, which replaces one of that name; a null id hashes as 0."""
     ship(docs.sparkSession)
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
     return docs.withColumn(name, jump_shard(key, shards))
@@ -62,7 +62,6 @@ def shard_manifest(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     ship(docs.sparkSession)
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    chunks = max(32, -(-docs.count() // (chunk_rows * shards)))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
@@ -70,11 +69,13 @@ def shard_manifest(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         key.alias("key"),
         F.monotonically_increasing_id().alias("row_id"),
     )
-    rows = rows.select(
+    # written, as the numbers of a shard's rows are counted and given out by two branches
+    rows = cut(rows.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), jump_shard(F.col("key"), shards).alias("shard"),
         jump_shard(F.col("key"), shards + 1).alias("grown_shard"), "row_id",
-        F.pmod(F.xxhash64("row_id"), F.lit(chunks)).alias("chunk"),
-    )
+    ))
+    chunks = max(32, -(-rows.count() // (chunk_rows * shards)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("row_id"), F.lit(chunks)))
     chunk = Window.partitionBy("shard", "chunk")
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "chunk").agg(F.count("*").alias("n")).select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import json
+import math
 import random
 import re
 
@@ -358,3 +359,220 @@ def test_words_that_some_hashes_take_for_equal(spark, n):
     assert [r.n_removed for pair in words for r in pair] == [0, 0, 0, 0]
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df.where("doc_id < 4"), shingle=1, percent=100).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+def joined(spark, texts):
+    """Documents as the result of a join and a shuffle, not cached, with columns that operators might use themselves."""
+    left = table(spark, texts).withColumn("_row", F.col("doc_id") * 10).withColumn("_first", F.lit("f"))
+    right = spark.createDataFrame([(i, f"x{i}") for i in range(len(texts))], "doc_id long, shard string")
+    return left.join(right.repartition(7), "doc_id").repartition(5)
+
+
+def test_results_go_to_their_own_rows(spark):
+    texts = corpus()
+    df, plain = joined(spark, texts), table(spark, texts).cache()
+    benchmark = spark.createDataFrame([(1, " ".join(texts[0].split()[20:45]))], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    whole = lambda out: sorted((r.doc_id, r.text or "", r._row, r._first, r.shard) for r in out.collect())
+    ids = lambda out: {r.doc_id for r in out.collect()}
+    for run in (lambda d: decontamination.drop_contaminated(d, benchmark), lambda d: near_dedup.drop_near_duplicates(d, shingle=4), lambda d: quality_classifier.drop_low_quality(d, labels)):
+        out = run(df)
+        assert out.columns == df.columns and {r[0] for r in whole(out)} == ids(run(plain))
+        assert all(r[2] == 10 * r[0] and r[1] == (texts[r[0]] or "") and r[4] == f"x{r[0]}" for r in whole(out))
+    seeds = [f"{t or ''} mail a{i}@x.org" for i, t in enumerate(texts)]
+    out = pii.redact(joined(spark, seeds))
+    assert all(r.text == seeds[r.doc_id].replace(f"a{r.doc_id}@x.org", "<EMAIL>") and r._row == 10 * r.doc_id for r in out.collect())
+    slots = sharding.shard_manifest(df).collect()
+    assert len({(r.shard, r.slot) for r in slots}) == len(texts)
+
+
+def test_large_bucket_blocks(spark, monkeypatch):
+    """All paths over buckets: pivots, small buckets, blocks of large ones, and what is left of those."""
+    monkeypatch.setattr(near_dedup, "_SMALL_BUCKET", 4)
+    monkeypatch.setattr(near_dedup, "_BLOCK", 16)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(130):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 5, 6, 7])):
+            words[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    df = table(spark, texts)
+    want = groups(df.collect(), 4)
+    got = near_dedup.near_duplicates(df, shingle=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_pii_rounds_by_hand(spark):
+    rng = random.Random(6)
+    links = [(f"p{rng.randrange(8)}", f"i{rng.randrange(30)}") for _ in range(120)]
+    seeds = {f"i{k}" for k in range(0, 30, 2)}
+    edges = set(links)
+    score = {i: float(i in seeds) for _, i in edges}
+    for _ in range(3):
+        rated = {}
+        for p in {p for p, _ in edges}:
+            mine = [i for q, i in edges if q == p]
+            rated[p] = (sum(score[i] for i in mine) / (len(mine) + 1.0), sum(i in seeds for i in mine))
+        trusted = {p: c for p, (c, n) in rated.items() if c >= 0.5 and n >= 3}
+        for i in score:
+            miss = 1.0
+            for p, j in edges:
+                if j == i and p in trusted:
+                    miss *= max(1 - trusted[p], 1e-6)
+            score[i] = max(float(i in seeds), 1 - miss)
+    df = spark.createDataFrame([(p, i, i in seeds) for p, i in links], "pattern string, instance string, seed boolean")
+    got = {r.pattern: r.confidence for r in pii.trusted_patterns(df, least_confidence=0.5).collect()}
+    assert trusted and got.keys() == trusted.keys() and all(abs(got[p] - trusted[p]) < 1e-9 for p in got)
+
+
+def test_pii_finds_secrets(spark):
+    hexes = ["".join(random.Random(i).choice("0123456789abcdef") for _ in range(40)) for i in range(6)]
+    texts = [f'so the token = "{h}"### 4785380592391139$$$ de' for h in hexes] + ['my token = "a1b2c3"', "call phone: 555 123 4567 now", *(f"phone: +1 (988) 555-24{k}5 x" for k in range(5)), "x" * 100_000 + "漢" * 100_000 + "1"]
+    got = {r.doc_id: [(texts[r.doc_id][s.start : s.end], s.kind) for s in r.spans if s.kind == 4] for r in pii.find_pii(table(spark, texts)).collect()}
+    assert all(got[i] == [(h, 4)] for i, h in enumerate(hexes)) and got[6] == [("a1b2c3", 4)] and got[7] == [("555 123 4567", 4)] and got[13] == []
+
+
+def test_site_priors_by_hand(spark):
+    rng = random.Random(9)
+    texts = ["river garden stone " * 8 + ("$$$ %%%" * 6 if rng.random() < (0.8 if i % 5 == 0 else 0.2) else "") for i in range(300)]
+    rows = [(i, t, f"p{i % 3}", f"h{i % 5}") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int("$" not in texts[i]), 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    got = quality_classifier.classify_quality(df, labels).collect()
+    base = sum("$" in texts[i] for i in range(0, 300, 2)) / 150
+    shift = math.log(base / (1 - base))
+    x = {r.doc_id: 1 / (1 + math.exp(-r.added - shift)) for r in got}
+    n, mean = len(x), sum(x.values()) / len(x)
+    by = lambda key: {k: [x[r.doc_id] for r in got if key(r) == k] for k in {key(r) for r in got}}
+    hosts, paths = by(lambda r: r.host), by(lambda r: (r.host, r.path))
+    avg = lambda v: sum(v) / len(v)
+
+    def strength(groups, parent, above, spread):
+        v = sum((y - avg(g)) ** 2 for g in groups.values() for y in g) / (n - len(groups))
+        t = (sum(len(g) * (avg(g) - parent(k)) ** 2 for k, g in groups.items()) - (len(groups) - above) * v) / spread
+        return min(1e6, max(1.0, v / t)) if t > 0 else 1e6
+
+    a = strength(hosts, lambda k: mean, 1, n - sum(len(g) ** 2 for g in hosts.values()) / n)
+    b = strength(paths, lambda k: avg(hosts[k[0]]), len(hosts), n - sum(len(g) ** 2 / len(hosts[k[0]]) for k, g in paths.items()))
+    for r in got:
+        p_host = (sum(hosts[r.host]) + a * mean) / (len(hosts[r.host]) + a)
+        own = paths[r.host, r.path]
+        p_path = (sum(own) + b * p_host) / (len(own) + b)
+        odds = math.log(p_path / (1 - p_path)) + r.added
+        assert abs(r.p_host - p_host) < 1e-6 and abs(r.p_path - p_path) < 1e-6 and abs(r.p_reject - 1 / (1 + math.exp(-odds))) < 1e-6
+        assert r.kept == (r.p_reject < 0.5)
+
+
+def test_classifier_on_odd_tables(spark):
+    df = spark.createDataFrame([(5, f"word {i % 7} more") for i in range(200)] + [(None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(5, 0, 0), (5, None, 1), (6, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality_classifier.fit_evidence(df, labels, "doc_id", "text", 10, 10) is not None
+    assert quality_classifier.classify_quality(df, labels).count() == 201
+    assert quality_classifier.classify_quality(df.where("false"), labels).count() == 0
+
+
+def test_held_out_labels(spark):
+    """Fitted on the labels of even ids, judged on those of odd ids of the tables."""
+    data = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r.kept for r in quality_classifier.classify_quality(docs, labels.where("doc_id % 2 = 0")).collect()}
+    held = [(r.doc_id, r.quality == 1 and r.toxic == 0) for r in labels.where("doc_id % 2 = 1").dropDuplicates(["doc_id"]).collect() if r.doc_id in got]
+    good = [d for d, ok in held if ok]
+    assert sum(got[d] for d in good) >= 0.95 * len(good) and sum(got[d] == ok for d, ok in held) >= 0.9 * len(held)
+
+
+def test_quality_verdicts_by_hand(docs):
+    """Votes recomputed from the texts, and expectation-maximisation over documents instead of patterns."""
+    import numpy as np
+
+    got = {r.doc_id: r for r in quality_rules.judge_quality(docs).collect()}
+    names, votes = [], []
+    for r in docs.collect():
+        text, g = r.text or "", got[r.doc_id]
+        n, letters = max(1, g.n_words), max(1, g.word_chars)
+        lines = [x for x in text.split("\n") if re.search(BLANK, x)]
+        upper = sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in text)
+        pick = lambda bad, good: "b" if bad else "g" if good else "-"
+        mine = "".join([
+            pick(g.n_words < 10, g.n_words >= 50), pick(letters < 2 * n or letters > 15 * n, 3 * n <= letters <= 10 * n), pick(10 * g.n_symbols > n, 100 * g.n_symbols <= n),
+            pick(2 * g.n_dup_lines > len(lines), g.n_dup_lines == 0 and len(lines) > 1), pick(100 * g.n_repeat_words > 20 * n, 100 * g.n_repeat_words <= 5 * n), pick(2 * upper > letters, 5 * upper <= letters)])
+        assert mine == g.votes
+        names.append(r.doc_id)
+        votes.append(mine)
+    k = 6
+    bad, voted = (np.array([[v in x for v in row] for row in votes], float) for x in ("b", "bg"))
+    share = np.array([0.85] + [0.15 / k] * k)
+    alarm = np.vstack([np.full(k, 0.005), np.where(np.eye(k) > 0, 0.7, 0.1)])
+
+    def posterior():
+        logs = np.log(share) + bad @ np.log(alarm).T + (voted - bad) @ np.log(1 - alarm).T
+        p = np.exp(logs - logs.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
+
+    for _ in range(50):
+        p = posterior()
+        mass = p.sum(0) + 0.5
+        share = mass / mass.sum()
+        alarm = (p.T @ bad + 0.05) / (p.T @ voted + 0.1)
+        alarm[1:] = np.where(np.eye(k) > 0, np.maximum(alarm[1:], 0.5), alarm[1:])
+        alarm = np.clip(alarm, 0.002, None)
+        alarm[0], alarm[1:] = np.minimum(alarm[0], 0.01), np.minimum(alarm[1:], 0.995)
+    for d, p in zip(names, posterior()[:, 0]):
+        assert abs(got[d].p_good - p) < 1e-6 and got[d].kept == (not got[d].base_failed and got[d].p_good >= 0.5)
+
+
+@pytest.fixture(scope="module")
+def pipeline():
+    return pytest.importorskip("corpus_pipeline")
+
+
+def test_pipeline_stages(spark, pipeline, tmp_path):
+    """Each stage against brute force over what its predecessor kept."""
+    data = "/root/testdata/sf0.001"
+    before, kept = spark.read.parquet(f"{data}/documents.parquet"), {}
+    columns = before.columns
+    for name, stage in pipeline.STAGES:
+        stage(spark, before, data).write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        kept[name] = {r.doc_id: r for r in after.collect()}
+        texts = {r.doc_id: r.text for r in before.collect()}
+        assert kept[name].keys() <= texts.keys() and (name == "pieces" or after.columns == columns)
+        if name == "quality_classifier":
+            labels = {r.doc_id: r.quality == 1 and r.toxic == 0 for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+            good = [d for d in texts if labels.get(d)]
+            assert sum(d in kept[name] for d in good) >= 0.95 * len(good)
+        elif name == "near_dedup":
+            want = groups(before.collect(), 5)
+            assert kept[name].keys() == {d for d, (_, c) in want.items() if d == c}
+        elif name == "decontamination":
+            split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+            items = [split(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+            windows = {tuple(w[i : i + 10]) for w in items if w for i in range(max(1, len(w) - 9))}
+            sizes = {len(w) for w in windows}
+            dirty = lambda w: any(tuple(w[i : i + k]) in windows for k in sizes for i in range(len(w) - k + 1))
+            assert kept[name].keys() == {d for d, t in texts.items() if not dirty(split(t))}
+        elif name == "pii":
+            assert kept[name].keys() == texts.keys() and not any(base_spans(r.text or "") for r in kept[name].values())
+            assert all(r.text == texts[d] for d, r in kept[name].items() if not re.search("[0-9@]", texts[d] or ""))
+        else:
+            model = pieces.lexicon(tokenizer())
+            assert all(r.ids == model.encode(texts[d] or "") and r.round_trip for d, r in kept[name].items())
+        before = after
+    assert {r.doc_id for r in pipeline.run(spark, data).collect()} == kept["pieces"].keys()
+
+
+def test_pipeline_on_odd_rows(spark, pipeline, tmp_path):
+    """Null texts and ids, empty and repeated rows, and no rows at all pass through every stage."""
+    data = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    odd = spark.createDataFrame([(None, None), (None, ""), (7, "a b c d e f g h"), (7, "a b c d e f g h"), (7, "i j k l m n o p q")], "doc_id long, text string")
+    odd = odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    for rows in (odd.select(docs.columns), docs.where("false")):
+        out = rows
+        for i, (_, stage) in enumerate(pipeline.STAGES):
+            place = str(tmp_path / f"{rows is odd}-{id(rows)}-{i}")
+            stage(spark, out, data).write.parquet(place)
+            out = spark.read.parquet(place)
+        assert out.count() <= rows.count()
