@@ -1,4 +1,10 @@
-"""A training corpus from the documents table, stage by stage."""
+"""A training corpus from the documents table, stage by stage.
+
+Each stage takes the documents that the one before kept and returns the same columns, the
+last one their ids.  Null and empty texts pass through every stage but the classifier's
+verdict; rows that repeat an id are judged alone, but of equal or nearly equal texts one row
+stays, and texts without words all stay; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +18,7 @@ from ctxsieve.llm.pieces import encode_pieces
 from ctxsieve.llm.pii import redact
 from ctxsieve.llm.quality_classifier import drop_low_quality
 from ctxsieve.llm.queries import table, tokenizer
-from ctxsieve.llm.session import ensure_checkpoint_dir
+from ctxsieve.llm.session import ensure_checkpoint_dir, release
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +58,24 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written to the shared folder and read again."""
+    """All stages over the documents table, each written to the shared folder and read again.
+
+    A stage's folder is deleted when the next one is written; the last one's stays for the
+    result to be read from.
+    """
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _delete(spark, f"{folder}/{before}")
+        docs, before = spark.read.parquet(f"{folder}/{name}"), name
+        release(spark)
     return docs
