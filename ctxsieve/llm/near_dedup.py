@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut, keyed, numbered, release, ship, unused
+from .session import BATCH, cut, keyed, numbered, release, ship, unused
 from .words import U64, chunks, hash_windows, hash_words, mix, utf8, word_spans
 
 BANDS, ROWS = 32, 4
@@ -249,7 +249,7 @@ def _grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``near_duplicates`` of ``rows (row_id, doc_id, text)``, whose ids are the same wherever it is read."""
     spark = rows.sparkSession
     ship(spark)
-    features = cut(_features(rows, shingle))
+    features = cut(_features(rows, shingle), batch=BATCH)
     same = ["seq_a", "seq_b"]
     classes = cut(features.where("n_shingles > 0").groupBy(*same).agg(F.min("row_id").alias("rep"), F.min("doc_id").alias("low")))
     reps = features.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").withColumnRenamed("row_id", "rep")
@@ -262,7 +262,7 @@ def _grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     nodes, bands = nodes.drop("bands"), nodes.select("rep", "bands")
     release(spark)
 
-    tried = cut(_confirmed(_stars(bands, active), nodes, texts, shingle, percent))
+    tried = cut(_confirmed(_stars(bands, active), nodes, texts, shingle, percent), batch=BATCH)
     links = tried.where("linked")
     labels = components(links)
     release(spark)
@@ -274,14 +274,14 @@ def _grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     if not large.isEmpty():
         pairs = pairs.union(_near_pairs(large, nodes, percent, spanning=True)).distinct()
     if not open_.isEmpty():
-        more = cut(_confirmed(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), nodes, texts, shingle, percent))
+        more = cut(_confirmed(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), nodes, texts, shingle, percent), batch=BATCH)
         tried, links = tried.union(more), links.union(more.where("linked"))
         labels = components(links)
         release(spark)
         large = cut(_placed(active.join(large.select("key").distinct(), "key", "left_semi"), labels, _SMALL_BUCKET + 1))
         if not large.isEmpty():
             rest = _near_pairs(large, nodes, percent, spanning=False).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-            links = links.union(_confirmed(rest, nodes, texts, shingle, percent).where("linked"))
+            links = links.union(cut(_confirmed(rest, nodes, texts, shingle, percent), batch=BATCH).where("linked"))
             labels = components(links)
             release(spark)
 

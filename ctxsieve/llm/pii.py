@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut, keyed, numbered, ship, unused
+from .session import BATCH, cut, keyed, numbered, ship, unused
 
 KINDS = ("email", "ip", "card", "phone", "id")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -176,7 +176,7 @@ def trusted_patterns(links: DataFrame, rounds: int = 3, least_confidence: float
 def _found(rows: DataFrame, broadcast_bytes: int, **bootstrap) -> DataFrame:
     """``find_pii`` of ``rows (row_id, doc_id, text)``."""
     ship(rows.sparkSession)
-    found = cut(_scanned(rows))
+    found = cut(_scanned(rows), batch=BATCH)
     links = found.select("row_id", F.explode("links").alias("link")).select("row_id", "link.*")
     trusted = trusted_patterns(links.select("pattern", "instance", "seed"), **bootstrap).select("pattern")
     # broadcast, as a frequent pattern would make a hot key; larger tables leave that to skew joins

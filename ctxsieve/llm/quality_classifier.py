@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut, numbered, ship, unused
+from .session import BATCH, cut, numbered, ship, unused
 
 _STYLE = 12
+_STARTS = (5, 7)
 #: The most documents that a prior counts for, as where sites do not differ.
 _MOST = 1e6
 _WORD = re.compile(r"[^\W\d_]+")
@@ -46,39 +47,28 @@ def style(text: str) -> list[float]:
     ]
 
 
-def forms(word: str) -> list[str]:
-    """A word, and the beginnings of a longer one, marked by a tilde."""
-    return [word, *(f"{word[:n]}~" for n in (5, 7) if len(word) > n)]
-
-
 def words_of(text: str) -> set[str]:
-    """Forms of the different words of a text."""
-    return {x for w in set(_WORD.findall(text.lower())) for x in forms(w)}
+    """Different words of a text, and the beginnings of its longer ones, marked by a tilde."""
+    words = set(_WORD.findall(text.lower()))
+    return words | {f"{w[:n]}~" for w in words for n in _STARTS if len(w) > n}
 
 
-class Known(dict):
-    """For each word the indices of its forms in a vocabulary; looked up once while the cache holds it."""
+class Known:
+    """Finds the members of a vocabulary among the words of a text, without making all marked beginnings."""
 
-    def __init__(self, vocabulary: list[str], entries: int = 200_000) -> None:
-        super().__init__()
-        self.at, self.entries = {w: i for i, w in enumerate(vocabulary)}, entries
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= self.entries:
-            self.clear()
-        self[word] = found = tuple(self.at[x] for x in forms(word) if x in self.at)
-        return found
+    def __init__(self, vocabulary: list[str]) -> None:
+        self.at = {w: i for i, w in enumerate(vocabulary)}
+        self.whole = {w for w in vocabulary if not w.endswith("~")}
+        self.starts = [(n, {w[:-1] for w in vocabulary if w.endswith("~") and len(w) == n + 1}) for n in _STARTS]
 
     def of(self, text: str) -> set[int]:
-        found: set[int] = set()
-        for w in set(_WORD.findall(text.lower())):
-            if hits := self[w]:
-                found.update(hits)
+        words = set(_WORD.findall(text.lower()))
+        found = {self.at[w] for w in words & self.whole}
+        for n, starts in self.starts:
+            if starts:
+                found |= {self.at[f"{w}~"] for w in {w[:n] for w in words if len(w) > n} & starts}
         return found
 
-    def __reduce__(self):
-        return Known, (list(self.at), self.entries)
-
 
 class Evidence:
     """Fitted models: log-odds for "reject" that a text adds to the base rate."""
@@ -233,7 +223,7 @@ def _classified(docs, row, labels, host, path, threshold, max_train, max_words,
             added = [model.added(t.as_py()) for t in batch.column(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(added, pa.float64())], ["row_id", "doc_id", "host", "path", "added"])
 
-    found = cut(rows.mapInArrow(judged, "row_id long, doc_id long, host string, path string, added double"))
+    found = cut(rows.mapInArrow(judged, "row_id long, doc_id long, host string, path string, added double"), batch=BATCH)
     logistic = lambda x: 1 / (1 + F.exp(-x))
     logit = lambda p: F.log(p / (1 - p))
     base = math.log(model.base / (1 - model.base)) if model.heads else -10.0

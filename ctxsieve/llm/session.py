@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 from ..workers import ship
 
-__all__ = ["cut", "ensure_checkpoint_dir", "keyed", "numbered", "release", "ship", "unused"]
+__all__ = ["BATCH", "cut", "ensure_checkpoint_dir", "keyed", "numbered", "release", "ship", "unused"]
+
+#: Rows of an Arrow batch of whole texts.
+BATCH = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -26,10 +30,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ctxsieve-checkpoint-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there.
+
+    ``batch`` bounds the rows of an Arrow batch meanwhile, which bounds the memory that
+    whole texts take in workers and in the executor's buffers for them.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if batch is None:
+        return df.checkpoint(eager=True)
+    before = spark.conf.get(_BATCH_KEY)
+    spark.conf.set(_BATCH_KEY, min(batch, int(before)) if int(before) > 0 else batch)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(_BATCH_KEY, before)
 
 
 def release(spark: SparkSession) -> None:
