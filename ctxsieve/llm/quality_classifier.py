@@ -26,24 +26,23 @@ from .session import BATCH, cut, numbered, ship, unused
 
 _STYLE = 12
 _STARTS = (5, 7)
+_ENDS = tuple(".,!?;:")
 #: The most documents that a prior counts for, as where sites do not differ.
 _MOST = 1e6
 _WORD = re.compile(r"[^\W\d_]+")
-_DIGITS, _CAPITALS = str.maketrans("", "", "0123456789"), str.maketrans("", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-_SYMBOLS = str.maketrans("", "", "#*$%&|<>{}[]\\^~=_@")
-_POINTS = str.maketrans("", "", ".,;:!?'\"()-")
+_DIGITS, _CAPITALS = b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SYMBOLS, _POINTS = b"#*$%&|<>{}[]\\^~=_@", b".,;:!?'\"()-"
 
 
 def style(text: str) -> list[float]:
     """Measures of a text's form; an empty text has those of no words."""
-    words, n = text.split(), max(1, len(text))
+    words, n, raw = text.split(), max(1, len(text)), text.encode(errors="replace")
     w = max(1, len(words))
     lines = [x for x in text.split("\n") if x.strip()]
-    ends = sum(x[-1] in ".,!?;:" for x in words)
+    symbols, capitals, digits, points = (len(raw) - len(raw.translate(None, x)) for x in (_SYMBOLS, _CAPITALS, _DIGITS, _POINTS))
     return [
-        math.log1p(len(words)), len(text) / w, (n - len(text.translate(_SYMBOLS))) / w, (n - len(text.translate(_CAPITALS))) / n,
-        (n - len(text.translate(_DIGITS))) / n, (n - len(text.translate(_POINTS))) / w, text.count("!!") / w, text.count(" | ") / w,
-        1 - len(set(lines)) / max(1, len(lines)), len(set(words)) / w, ends / w, len(lines) / w,
+        math.log1p(len(words)), len(text) / w, symbols / w, capitals / n, digits / n, points / w, text.count("!!") / w, text.count(" | ") / w,
+        1 - len(set(lines)) / max(1, len(lines)), len(set(words)) / w, sum(x.endswith(_ENDS) for x in words) / w, len(lines) / w,
     ]
 
 
