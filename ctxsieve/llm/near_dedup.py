@@ -11,10 +11,11 @@
    (share of equal fields - 1/4) / (3/4), and only pairs far below the threshold are let
    go.  The others are confirmed on full sets, and links give components.
 4. Buckets that still hold several components go on.  Small ones pair up the members of
-   different components.  Of large ones, blocks of signatures are compared inside tasks:
-   first for one pair of each two components that seem linked, then, between components
-   that this has not joined, for all pairs that pass the bit counts.  Texts are fetched
-   for those pairs only, and no link between components is lost however large a bucket is.
+   different components.  Of large ones, blocks of signatures are compared inside tasks,
+   which give one pair for each two components that seem linked; their sets decide.  What
+   this leaves apart goes through the full sets of all pairs that pass the bit counts, again
+   block by block inside tasks, which give out only links that join components.  So no link
+   between components is lost however large a bucket is, and no group is written as pairs.
 
 Loops cut their lineage with checkpoints in the shared folder.
 """
@@ -40,7 +41,8 @@ _FACTORS = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, _MINIMA +
 #: Estimates lie under this for a pair at 0.8 once in about 1e9 (six standard deviations).
 _FLOOR = 0.55
 _SIGNATURE = [f"s{i}" for i in range(_LONGS)]
-_PIVOTS, _SMALL_BUCKET, _BLOCK = 2, 32, 2048
+#: Pivots of a bucket, members of one that is paired up, signatures and texts of a block.
+_PIVOTS, _SMALL_BUCKET, _BLOCK, _TEXTS = 2, 32, 2048, 128
 
 
 def shingle_sets(column, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,44 +163,100 @@ def _stars(reps: DataFrame, active: DataFrame) -> DataFrame:
     return narrow.select(*_ordered("rep", "pivot")).union(wide.select(*_ordered("rep", "pivot"))).distinct()
 
 
-def _near_pairs(large: DataFrame, nodes: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    """Pairs (a, b) of different components within large buckets ``(key, n, rep, component)`` that pass the bit counts.
+def _block_pairs(members: DataFrame, group: str, size: int, columns: list[str]) -> DataFrame:
+    """``group, i, j, block`` and columns of the members of ``group``, of ``n`` members, once for each two blocks that a member's block meets."""
+    dealt = members.withColumn("blocks", F.ceil(F.col("n") / F.lit(size)).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *columns)
 
-    A bucket's members are dealt to blocks, and each two blocks are one group of signatures.
-    ``spanning`` gives one pair, the most alike, for each two components met, until pairs
-    given join all of a group's components; otherwise every pair is given.
+
+class _Compared:
+    """The members of two blocks: which pairs of different components pass sizes and bit counts."""
+
+    def __init__(self, table: pa.Table, percent: int) -> None:
+        column = lambda c: np.asarray(table.column(c))
+        self.percent, self.rep, self.size = percent, column("rep"), column("n_shingles")
+        names, self.component = np.unique(column("component"), return_inverse=True)
+        self.packed = np.stack([column(c).view(U64) for c in _SIGNATURE], 1)
+        self.root = np.arange(len(names))
+        i, j, block = table.column("i")[0].as_py(), table.column("j")[0].as_py(), column("block")
+        self.one, self.two, self.same = np.flatnonzero(block == i) if len(names) > 1 else np.zeros(0, int), np.flatnonzero(block == j), i == j
+        self.most_differ = int((1 - _FLOOR) * (1 - 1 / (1 << _BITS)) * _MINIMA)
+
+    def near(self, a: int) -> np.ndarray:
+        """Members that may be linked with ``a``, the most alike first."""
+        fits = (self.root[self.component[self.two]] != self.root[self.component[a]]) & (
+            100 * np.minimum(self.size[self.two], self.size[a]) >= self.percent * np.maximum(self.size[self.two], self.size[a]))
+        near = self.two[fits & ((self.rep[self.two] > self.rep[a]) if self.same else True)]
+        x = self.packed[near] ^ self.packed[a]
+        differ = np.bitwise_count((x | x >> U64(1)) & U64(0x5555555555555555)).sum(1)
+        return near[differ <= self.most_differ][np.argsort(differ[differ <= self.most_differ], kind="stable")]
+
+    def join(self, a: int, b: int) -> None:
+        self.root[self.root == self.root[self.component[b]]] = self.root[self.component[a]]
+
+
+def _pairs_table(rep: np.ndarray, pairs: list[tuple[int, int]]) -> pa.Table:
+    a, b = (rep[np.array([p[k] for p in pairs], np.int64)] for k in (0, 1))
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def _spanning_pairs(large: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) within large buckets ``(key, n, rep, component)`` that would join all components that seem linked.
+
+    Each two blocks of a bucket are one group of signatures.  Of each two components met, the
+    pair most alike is given, as if it were a link, until nothing more is to be joined.
     """
-    blocks = F.ceil(F.col("n") / F.lit(_BLOCK)).cast("int")
-    dealt = large.join(nodes, "rep").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n_shingles", *_SIGNATURE)
-    most_differ = int((1 - _FLOOR) * (1 - 1 / (1 << _BITS)) * _MINIMA)
 
     def compare(table: pa.Table) -> pa.Table:
-        column = lambda c: np.asarray(table.column(c))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        rep, size, block = column("rep"), column("n_shingles"), column("block")
-        names, component = np.unique(column("component"), return_inverse=True)
-        packed = np.stack([column(c).view(U64) for c in _SIGNATURE], 1)
-        root = np.arange(len(names))  # of components, as if all pairs given were linked
-        two, out_a, out_b = np.flatnonzero(block == j), [], []
-        for a in np.flatnonzero(block == i) if len(names) > 1 else ():
-            fits = (root[component[two]] != root[component[a]]) & (100 * np.minimum(size[two], size[a]) >= percent * np.maximum(size[two], size[a]))
-            near = two[fits & ((rep[two] > rep[a]) if i == j else True)]
-            x = packed[near] ^ packed[a]
-            differ = np.bitwise_count((x | x >> U64(1)) & U64(0x5555555555555555)).sum(1)
-            near, differ = near[differ <= most_differ], differ[differ <= most_differ]
-            if spanning and len(near):
-                near = near[np.argsort(differ, kind="stable")]
-                near = near[np.unique(component[near], return_index=True)[1]]
-                for c in np.unique(root[component[near]]):
-                    root[root == c] = root[component[a]]
-            out_a += [rep[a]] * len(near)
-            out_b += rep[near].tolist()
-        a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        met, pairs = _Compared(table, percent), []
+        for a in met.one:
+            near = met.near(a)
+            for b in near[np.sort(np.unique(met.component[near], return_index=True)[1])]:
+                if met.root[met.component[b]] != met.root[met.component[a]]:
+                    met.join(a, b)
+                    pairs.append((a, b))
+        return _pairs_table(met.rep, pairs)
+
+    blocks = _block_pairs(large.join(nodes, "rep"), "key", _BLOCK, ["rep", "component", "n_shingles", *_SIGNATURE])
+    return blocks.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _joining_links(large: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join all components that links within large buckets join.
+
+    What seemed linked and was not is looked at pair by pair, inside tasks: large buckets
+    that share members are one cluster, each two blocks of a cluster are one group, bit
+    counts choose the pairs whose full sets are compared, and only links that join
+    components are given out, fewer than a group has members.
+    """
+    first = large.groupBy("key").agg(F.min("rep").alias("pivot"))
+    ties = large.join(first, "key").where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    cluster = components(ties).toDF("rep", "cluster")
+    member = cut(large.select("rep", "component").distinct().join(cluster, "rep"))
+    sizes = member.groupBy("cluster").agg(F.count("*").alias("n"))
+    members = member.join(sizes, "cluster").join(nodes, "rep").join(texts.withColumnRenamed("row_id", "rep"), "rep")
+
+    def compare(table: pa.Table) -> pa.Table:
+        met, links = _Compared(table, percent), []
+        if len(met.one):
+            hashes, bounds = shingle_sets(table.column("text"), k)
+            _, ids = np.unique(hashes, return_inverse=True)
+            sets = [ids[bounds[d] : bounds[d + 1]] for d in range(len(met.rep))]
+            held = np.zeros(len(ids) + 1, bool)
+            for a in met.one:
+                held[sets[a]] = True
+                for b in met.near(a):
+                    if met.root[met.component[b]] != met.root[met.component[a]]:
+                        both = int(held[sets[b]].sum())
+                        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                            met.join(a, b)
+                            links.append((a, b))
+                held[sets[a]] = False
+        return _pairs_table(met.rep, links)
+
+    blocks = _block_pairs(members, "cluster", _TEXTS, ["rep", "component", "n_shingles", *_SIGNATURE, "text"])
+    return cut(blocks.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long"), batch=BATCH)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -272,17 +330,15 @@ def _grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     one, two = (small.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component"))) for s in ("a", "b"))
     pairs = one.join(two, "key").where("rep_a < rep_b and component_a != component_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     if not large.isEmpty():
-        pairs = pairs.union(_near_pairs(large, nodes, percent, spanning=True)).distinct()
+        pairs = pairs.union(_spanning_pairs(large, nodes, percent)).distinct()
     if not open_.isEmpty():
         more = cut(_confirmed(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), nodes, texts, shingle, percent), batch=BATCH)
-        tried, links = tried.union(more), links.union(more.where("linked"))
+        links = links.union(more.where("linked"))
         labels = components(links)
         release(spark)
         large = cut(_placed(active.join(large.select("key").distinct(), "key", "left_semi"), labels, _SMALL_BUCKET + 1))
         if not large.isEmpty():
-            rest = _near_pairs(large, nodes, percent, spanning=False).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-            links = links.union(cut(_confirmed(rest, nodes, texts, shingle, percent), batch=BATCH).where("linked"))
-            labels = components(links)
+            labels = components(links.select("a", "b").union(_joining_links(large, nodes, texts, shingle, percent)))
             release(spark)
 
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))

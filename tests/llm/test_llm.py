@@ -390,6 +390,7 @@ def test_large_bucket_blocks(spark, monkeypatch):
     """All paths over buckets: pivots, small buckets, blocks of large ones, and what is left of those."""
     monkeypatch.setattr(near_dedup, "_SMALL_BUCKET", 4)
     monkeypatch.setattr(near_dedup, "_BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "_TEXTS", 16)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     texts = []
