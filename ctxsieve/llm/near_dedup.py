@@ -278,6 +278,7 @@ def components(links: DataFrame) -> DataFrame:
             labels = labels.join(parent.toDF("component", "parent"), "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
         ends = links.join(parent.toDF("a", "x"), "a").join(parent.toDF("b", "y"), "b")
         links = cut(ends.where("x != y").select(*_ordered("x", "y")).distinct())
+        release(links.sparkSession)
         if links.isEmpty():
             return cut(labels)
 
@@ -310,20 +311,20 @@ def _grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     features = cut(_features(rows, shingle), batch=BATCH)
     same = ["seq_a", "seq_b"]
     classes = cut(features.where("n_shingles > 0").groupBy(*same).agg(F.min("row_id").alias("rep"), F.min("doc_id").alias("low")))
-    reps = features.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").withColumnRenamed("row_id", "rep")
+    reps = cut(features.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").withColumnRenamed("row_id", "rep"))
     keys = reps.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot != last").select("key", "pivot")
     active = cut(keys.join(shared, "key"))
-    members = active.select("rep").distinct()
-    nodes = cut(reps.join(members, "rep", "left_semi").select("rep", "n_shingles", *_SIGNATURE, "bands"))
+    release(spark)
+    nodes = cut(reps.join(active.select("rep"), "rep", "left_semi").select("rep", "n_shingles", *_SIGNATURE, "bands"))
     texts = cut(rows.join(nodes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select("row_id", "text"))
     nodes, bands = nodes.drop("bands"), nodes.select("rep", "bands")
     release(spark)
 
     tried = cut(_confirmed(_stars(bands, active), nodes, texts, shingle, percent), batch=BATCH)
+    release(spark)
     links = tried.where("linked")
     labels = components(links)
-    release(spark)
 
     open_ = cut(_placed(active, labels, 3))  # a pair alone in a bucket has been tried
     small, large = open_.where(F.col("n") <= _SMALL_BUCKET), open_.where(F.col("n") > _SMALL_BUCKET)
@@ -333,6 +334,7 @@ def _grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
         pairs = pairs.union(_spanning_pairs(large, nodes, percent)).distinct()
     if not open_.isEmpty():
         more = cut(_confirmed(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), nodes, texts, shingle, percent), batch=BATCH)
+        release(spark)
         links = links.union(more.where("linked"))
         labels = components(links)
         release(spark)
