@@ -45,3 +45,18 @@ def keep_ratio(cfg: SelectionConfig, tier: str | None = None, complexity: float
     """Clamped keep ratio; a complexity score overrides the tier."""
     wanted = TIER_KEEP.get(tier or "", DEFAULT_TIER_KEEP) if complexity is None else 0.30 + 0.6 * complexity
     return max(cfg.min_keep_ratio, min(cfg.max_keep_ratio, wanted))
+
+
+def keep_column(cfg: SelectionConfig, tier, complexity=None):
+    """``keep_ratio`` of a tier and a complexity that are columns or plain values."""
+    from pyspark.sql import Column
+    from pyspark.sql import functions as F
+
+    tier = tier if isinstance(tier, Column) else F.lit(tier)
+    wanted = F.lit(DEFAULT_TIER_KEEP)
+    for name, share in TIER_KEEP.items():
+        wanted = F.when(tier == name, F.lit(share)).otherwise(wanted)
+    if complexity is not None:
+        score = complexity if isinstance(complexity, Column) else F.lit(float(complexity))
+        wanted = F.coalesce(0.30 + 0.6 * score.cast("double"), wanted)
+    return F.greatest(F.lit(cfg.min_keep_ratio), F.least(F.lit(cfg.max_keep_ratio), wanted))

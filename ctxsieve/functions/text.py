@@ -8,8 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SPACE = r"[\s\x1c-\x1f]"
-# One character of the CJK blocks, else a run of letters and digits.
-TOKEN = "[぀-ヿ㐀-䶿一-鿿豈-﫿]|[\\p{L}\\p{N}]+"
+# A token is one character of the CJK blocks, else a run of letters and digits.
+_CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
+_SINGLE, _BETWEEN = f"[{_CJK}]", rf"[^\p{{L}}\p{{N}}{_CJK}]+"
 
 
 def strip(text: Column) -> Column:
@@ -25,8 +26,14 @@ def strip_right(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case tokens in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    """Lower-case tokens in order.
+
+    Splitting at what lies between tokens is several times faster than extracting them;
+    blanks are put around single characters only where there are any.
+    """
+    low = F.lower(text)
+    apart = F.when(low.rlike(_SINGLE), F.regexp_replace(low, f"({_SINGLE})", " $1 ")).otherwise(low)
+    return F.array_remove(F.split(apart, _BETWEEN, -1), "")
 
 
 def approx_tokens(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import SelectionConfig
 from ..functions.text import approx_tokens, strip, strip_left
-from .selection import chunk_blocks, decide, rebuild, score_blocks, select_blocks
+from .selection import decide_blocks, rank_blocks, rebuild_blocks, score_blocks, select_blocks
 
 # Tools whose output may be trimmed, fields that hold it, arguments that tell its purpose.
 ADMITTED_TOOLS = ("Read", "Grep", "Glob", "Bash", "WebFetch", "WebSearch", "NotebookRead", "BashOutput")
@@ -65,9 +65,9 @@ def replay(outputs: DataFrame, keeps: tuple[float, ...] = KEEPS, cfg: SelectionC
     cfg = cfg or SelectionConfig()
     fit = _asked(outputs).where(eligible(F.col("tool"), F.col("text"), cfg.min_message_chars) & (strip(F.col("query")) != ""))
     grid = F.explode(F.array(*(F.lit(float(k)) for k in keeps)))
-    scored = score_blocks(chunk_blocks(fit.select("block_id", "text", "query"), cfg), cfg).withColumn("keep", grid)
-    built = rebuild(decide(scored, cfg, F.col("keep")), cfg).where("dropped > 0").select("block_id", "keep", "new_text")
-    rows = fit.select("session", "block_id", "text").withColumn("keep", grid).join(built, ["block_id", "keep"], "left")
+    ranked = rank_blocks(score_blocks(fit.select("session", "block_id", "text", "query").repartition("block_id"), cfg))
+    built = rebuild_blocks(decide_blocks(ranked.withColumn("keep", grid), cfg, F.col("keep")), cfg)
+    rows = built.select("session", "keep", "text", F.when(F.col("dropped") > 0, F.col("new_text")).alias("new_text"))
     fired = F.coalesce(F.char_length("new_text") < F.char_length("text"), F.lit(False))
     less = F.greatest(F.lit(0).cast("long"), approx_tokens(F.col("text")) - approx_tokens(F.col("new_text")))
     return rows.groupBy("session", "keep").agg(

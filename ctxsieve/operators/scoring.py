@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+import logging
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,32 +15,44 @@ from ..workers import ship
 
 #: Scores are rounded so that the order of float sums can't flip a decision.
 DIGITS = 12
+#: Stands for a text without a token, so that each text keeps a row.
+_NONE = ""
 
 
-def term_weights(blocks: DataFrame) -> DataFrame:
+def term_weights(blocks: DataFrame, every_text: bool = False) -> DataFrame:
     """``block_id, n, idx, token, tf, df, w`` of the chunks of ``blocks (block_id, chunks, query)``.
 
     The query is one more text with ``idx = n``; document frequencies are within the block.
-    All steps keep the partitioning by block, so this costs one shuffle.
+    All steps keep a partitioning of ``blocks`` by block.  With ``every_text`` each text also
+    has a row of weight 0 under the empty token.
     """
-    n = F.size("chunks")
-    texts = blocks.select("block_id", "chunks", "query").repartition("block_id").select("block_id", n.alias("n"), F.posexplode(F.concat("chunks", F.array("query"))).alias("idx", "chunk"))
+    texts = blocks.select("block_id", F.size("chunks").alias("n"), F.posexplode(F.concat("chunks", F.array("query"))).alias("idx", "chunk"))
     words = texts.select("block_id", "n", "idx", tokens(F.col("chunk")).alias("words"))
-    words = words.select("block_id", "n", "idx", F.size("words").alias("length"), F.explode(F.slice("words", F.lit(1), F.size("words"))).alias("token"))
+    held = F.array_append("words", F.lit(_NONE)) if every_text else F.slice("words", F.lit(1), F.size("words"))
+    words = words.select("block_id", "n", "idx", F.size("words").alias("length"), F.explode(held).alias("token"))
     counted = words.groupBy("block_id", "n", "idx", "length", "token").agg(F.count("*").alias("c"))
     df = F.count("*").over(Window.partitionBy("block_id", "token"))
-    return counted.withColumn("tf", F.col("c") / F.col("length")).withColumn("df", df).withColumn("w", F.col("tf") * F.ln((F.col("n") + 2) / F.col("df"))).select(
+    tf = F.when(F.col("token") != _NONE, F.col("c") / F.col("length")).otherwise(0.0)
+    return counted.withColumn("tf", tf).withColumn("df", df).withColumn("w", F.col("tf") * F.ln((F.col("n") + 2) / F.col("df"))).select(
         "block_id", "n", "idx", "token", "tf", "df", "w")
 
 
-def lexical_scores(blocks: DataFrame) -> DataFrame:
-    """``block_id, idx, score`` of the chunks that have a token; others score 0."""
+def block_scores(blocks: DataFrame) -> DataFrame:
+    """``block_id, scores`` of chunked ``blocks``: an array with the tf-idf cosine of each chunk."""
     asked = F.max(F.when(F.col("idx") == F.col("n"), F.col("w"))).over(Window.partitionBy("block_id", "token"))
-    sums = term_weights(blocks).withColumn("q", asked).groupBy("block_id", "n", "idx").agg(
+    sums = term_weights(blocks, every_text=True).withColumn("q", asked).groupBy("block_id", "n", "idx").agg(
         F.sum(F.col("w") * F.coalesce("q", F.lit(0.0))).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("norm"))
-    query = F.max(F.when(F.col("idx") == F.col("n"), F.col("norm"))).over(Window.partitionBy("block_id"))
-    score = F.when((F.col("norm") > 0) & (F.col("q_norm") > 0), F.col("dot") / (F.sqrt("norm") * F.sqrt("q_norm"))).otherwise(0.0)
-    return sums.withColumn("q_norm", query).where("idx < n").select("block_id", "idx", F.round(score, DIGITS).alias("score"))
+    rows = sums.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("idx", "dot", "norm"))).alias("rows"))
+    asked_norm = F.element_at("rows", -1)["norm"]
+    score = lambda r: F.when((r["norm"] > 0) & (asked_norm > 0), F.round(r["dot"] / (F.sqrt(r["norm"]) * F.sqrt(asked_norm)), DIGITS)).otherwise(0.0)
+    return rows.select("block_id", F.transform(F.slice("rows", F.lit(1), F.size("rows") - 1), score).alias("scores"))
+
+
+def lexical_scores(blocks: DataFrame) -> DataFrame:
+    """``block_id, idx, score`` of the chunks of ``blocks`` that have a token; others score 0."""
+    scored = blocks.join(block_scores(blocks), "block_id")
+    rows = scored.select("block_id", F.posexplode(F.arrays_zip("chunks", "scores")).alias("idx", "c"))
+    return rows.where(F.size(tokens(F.col("c.chunks"))) > 0).select("block_id", "idx", F.col("c.scores").alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -48,25 +62,56 @@ def cosine(a: Column, b: Column) -> Column:
     return F.round(F.when(norms > 0, dot(a, b) / norms).otherwise(0.0), DIGITS)
 
 
-def embedded_scores(blocks: DataFrame, embed: Callable[[list[str]], list]) -> DataFrame:
-    """``block_id, idx, score`` by an embedder of the caller, called once per block.
+def vector_scores(vectors: Column, query: Column) -> Column:
+    """Scores of chunk vectors that are already there, as an array column of arrays."""
+    return F.transform(vectors, lambda v: cosine(v, query))
 
-    ``embed`` gets the chunks and then the query, and returns a vector for each.
-    """
+
+def check_embedder(embed: Callable) -> None:
+    """Reject what could never work, before any plan is made; only its failures on data are passed over."""
+    if not callable(embed):
+        raise TypeError("an embedder is a function from texts to vectors")
+    if inspect.iscoroutinefunction(embed) or inspect.iscoroutinefunction(getattr(embed, "__call__", None)):
+        raise TypeError("an embedder must return vectors, not a coroutine")
+
+
+def _similarities(vectors: list) -> list[float]:
+    """Cosine of each vector but the last with the last: of dicts over shared keys, else dense."""
     import numpy as np
 
-    ship(blocks.sparkSession)
-
-    def score(batches):
-        for pdf in batches:
-            out = []
-            for block, chunks, query in zip(pdf["block_id"], pdf["chunks"], pdf["query"]):
-                if chunks is None:
-                    continue
-                vectors = np.asarray(embed([*chunks, query]), float)
-                norms = np.linalg.norm(vectors, axis=1) * np.linalg.norm(vectors[-1])
-                dots = vectors @ vectors[-1]
-                out += [(block, i, round(float(dots[i] / norms[i]) if norms[i] else 0.0, DIGITS)) for i in range(len(chunks))]
-            yield pd.DataFrame(out, columns=["block_id", "idx", "score"])
-
-    return blocks.select("block_id", "chunks", "query").mapInPandas(score, "block_id long, idx int, score double")
+    if isinstance(vectors[-1], dict):
+        norm = lambda v: sum(x * x for x in v.values()) ** 0.5
+        asked = vectors[-1]
+        out = [(sum(v[k] * asked[k] for k in sorted(v.keys() & asked.keys(), key=repr)), norm(v) * norm(asked)) for v in vectors[:-1]]
+        return [round(dot / both, DIGITS) if both else 0.0 for dot, both in out]
+    dense = np.asarray(vectors, float)
+    norms, dots = np.linalg.norm(dense, axis=1) * np.linalg.norm(dense[-1]), dense @ dense[-1]
+    return [round(float(dots[i] / norms[i]), DIGITS) if norms[i] else 0.0 for i in range(len(dense) - 1)]
+
+
+def embedded(chunks: Column, query: Column, embed: Callable[[list[str]], list], spark) -> Column:
+    """Scores by an embedder of the caller, called once per block with the chunks and then the query.
+
+    It returns a vector, dense or a dict, for each text.  Where it fails or returns another
+    number, the block's scores are null, which leaves the block as it is, and a line is logged.
+    """
+    check_embedder(embed)
+    ship(spark)
+
+    @F.pandas_udf("array<double>")
+    def scored(chunks: pd.Series, query: pd.Series) -> pd.Series:
+        out = []
+        for parts, asked in zip(chunks, query):
+            scores = None
+            if parts is not None:
+                try:
+                    vectors = list(embed([*parts, asked]))
+                    if len(vectors) != len(parts) + 1:
+                        raise ValueError(f"{len(vectors)} vectors for {len(parts) + 1} texts")
+                    scores = _similarities(vectors)
+                except Exception:
+                    logging.getLogger("ctxsieve").warning("a block is left as it is, as its embedder failed", exc_info=True)
+            out.append(scores)
+        return pd.Series(out, dtype=object)
+
+    return scored(chunks, query)

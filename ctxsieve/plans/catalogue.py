@@ -36,11 +36,15 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.chunk_blocks(_blocks(spark, sf_dir), CFG)
+    return selection.chunk_blocks(_blocks(spark, sf_dir).repartition("block_id"), CFG)
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.score_blocks(_blocks(spark, sf_dir).repartition("block_id"), CFG)
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.decide(selection.score_blocks(_chunked(spark, sf_dir), CFG), CFG, F.lit(0.6))
+    return selection.decide(_scored(spark, sf_dir), CFG, F.lit(0.6))
 
 
 def chunk_sentences(spark, sf_dir):
@@ -71,12 +75,14 @@ def tokenize_counts(spark, sf_dir):
 
 
 def block_idf(spark, sf_dir):
-    w = scoring.term_weights(_chunked(spark, sf_dir)).where("idx = n")
+    blocks = _chunked(spark, sf_dir)
+    w = scoring.term_weights(blocks.withColumn("chunks", F.slice("chunks", F.lit(1), F.col("n")))).where("idx = n")
     return w.select("block_id", "token", F.round("tf", 9).alias("tf"), "df", F.round("w", 9).alias("w"))
 
 
 def lexical_scores(spark, sf_dir):
-    return scoring.lexical_scores(_chunked(spark, sf_dir)).select("block_id", "idx", F.round("score", 9).alias("score"))
+    blocks = _chunked(spark, sf_dir)
+    return scoring.lexical_scores(blocks.withColumn("chunks", F.slice("chunks", F.lit(1), F.col("n")))).select("block_id", "idx", F.round("score", 9).alias("score"))
 
 
 def pinned_chunks(spark, sf_dir):
@@ -97,13 +103,13 @@ def pinned_default(spark, sf_dir):
 
 
 def rare_entities(spark, sf_dir):
-    return _chunked(spark, sf_dir).where("n > 0").select("block_id", F.array_join(F.array_sort("rare"), ",").alias("rare"))
+    rows = selection.with_rare(_chunked(spark, sf_dir)).select("block_id", F.array_join(F.array_sort("rare"), ",").alias("rare"))
+    return rows.where("rare is not null")
 
 
 def budget_topk(spark, sf_dir):
-    scored = selection.score_blocks(_chunked(spark, sf_dir), CFG)
-    rank = F.row_number().over(Window.partitionBy("block_id").orderBy(F.desc("score"), "idx"))
-    return scored.withColumn("rn", rank).where(F.col("rn") <= selection.budget(F.col("n"), F.lit(0.6))).select("block_id", "idx", "rn")
+    ranked = selection.rank_blocks(_scored(spark, sf_dir)).select("block_id", "n", F.posexplode("ranks").alias("idx", "rn"))
+    return ranked.where(F.col("rn") <= selection.budget(F.col("n"), F.lit(0.6))).select("block_id", "idx", "rn")
 
 
 def select_flagship(spark, sf_dir):
@@ -142,15 +148,15 @@ def marker_accounting(spark, sf_dir):
 
 def keep_sweep(spark, sf_dir):
     grid = F.explode(F.array(*(F.lit(k) for k in admission.KEEPS)))
-    scored = selection.score_blocks(_chunked(spark, sf_dir), CFG).withColumn("keep", grid)
-    built = selection.rebuild(selection.decide(scored, CFG, F.col("keep")), CFG)
+    ranked = selection.rank_blocks(_scored(spark, sf_dir)).withColumn("keep", grid)
+    built = selection.decide_blocks(ranked, CFG, F.col("keep")).where("kept is not null").select("keep", "n", F.size("kept").alias("kept")).withColumn("dropped", F.expr("n - kept"))
     return built.groupBy("keep").agg(
         F.count("*").alias("blocks"), F.sum("n").alias("chunks_in"), F.sum("kept").alias("chunks_kept"), F.round(F.median(100.0 * F.col("dropped") / F.col("n")), 6).alias("median_pct"))
 
 
 def tier_keep(spark, sf_dir):
     tiers = spark.createDataFrame([(t, keep_ratio(CFG, t)) for t in (*TIER_KEEP, "unknown")] + [("complexity", keep_ratio(CFG, None, 0.9))], "tier string, keep double")
-    sizes = _chunked(spark, sf_dir).where("n > 0").select("n").withColumn("tier", F.explode(F.array(*map(F.lit, (*TIER_KEEP, "unknown", "complexity")))))
+    sizes = _chunked(spark, sf_dir).select("n").where("n > 0").withColumn("tier", F.explode(F.array(*map(F.lit, (*TIER_KEEP, "unknown", "complexity")))))
     joined = sizes.join(F.broadcast(tiers), "tier")
     return joined.groupBy("tier", "keep").agg(F.sum(selection.budget(F.col("n"), F.col("keep"))).alias("chunks_kept"))
 
