@@ -36,6 +36,10 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(apart, _BETWEEN, -1), "")
 
 
+def has_token(text: Column) -> Column:
+    return text.rlike(rf"[\p{{L}}\p{{N}}{_CJK}]")
+
+
 def approx_tokens(text: Column) -> Column:
     """Token estimate: a quarter of the characters, rounded down."""
     return F.floor(F.char_length(text) / 4).cast("long")

@@ -23,7 +23,7 @@ def select_frozen(blocks: DataFrame, keep: float = 0.6, cfg: SelectionConfig | N
     """
     keys = [scope, "block_key"] if scope else ["block_key"]
     seen = first_sight(blocks, scope)
-    first = seen.where("is_first").withColumn("block_id", F.xxhash64(*keys))
+    first = seen.where("is_first").withColumn("block_id", F.concat_ws(":", *(F.col(k).cast("string") for k in keys)))
     decided = select_blocks(first, keep, cfg).select(*keys, "new_text", "changed")
     return seen.join(decided, keys, "left")
 
@@ -31,6 +31,6 @@ def select_frozen(blocks: DataFrame, keep: float = 0.6, cfg: SelectionConfig | N
 def with_decisions(blocks: DataFrame, decisions: DataFrame, keep: float = 0.6, cfg: SelectionConfig | None = None) -> tuple[DataFrame, DataFrame]:
     """Replay a table of decisions ``(block_key, new_text, changed)`` and extend it by new blocks."""
     seen = first_sight(blocks)
-    fresh = seen.where("is_first").join(decisions, "block_key", "left_anti").withColumn("block_id", F.xxhash64("block_key"))
+    fresh = seen.where("is_first").join(decisions, "block_key", "left_anti").withColumn("block_id", F.col("block_key"))
     made = decisions.select("block_key", "new_text", "changed").unionByName(select_blocks(fresh, keep, cfg).select("block_key", "new_text", "changed"))
     return seen.join(made, "block_key", "left"), made

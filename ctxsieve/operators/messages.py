@@ -37,7 +37,7 @@ def trim_messages(messages: DataFrame, keep: float = 0.6, cfg: SelectionConfig |
     cfg = (cfg or SelectionConfig()).with_keep(keep)
     routed = route(messages, cfg)
     blocks = routed.where("selectable").select("conv_id", F.md5("content").alias("key"), F.col("content").alias("text"), "query").dropDuplicates(["conv_id", "key"])
-    numbered = blocks.withColumn("block_id", F.xxhash64("conv_id", "key"))
+    numbered = blocks.withColumn("block_id", F.concat_ws(":", F.col("conv_id").cast("string"), "key"))
     decided = select_blocks(numbered, keep, cfg, embed).where("changed").select("conv_id", "key", F.col("new_text").alias("_new"))
     joined = routed.withColumn("key", F.when(F.col("selectable"), F.md5("content"))).join(decided, ["conv_id", "key"], "left")
     return joined.select(*messages.columns, F.coalesce("_new", "content").alias("new_content"), F.col("_new").isNotNull().alias("changed"))
@@ -124,7 +124,7 @@ def trim_parts(messages: DataFrame, keep: float = 0.6, cfg: SelectionConfig | No
         "query", F.max_by(F.when(asked, F.col("said")), F.when(asked, F.col("msg_idx"))).over(conv))
     open_ = routed.where(F.col("role").isin(*cfg.selectable_roles) & F.col("query").isNotNull() & F.coalesce(F.col("msg_idx") != F.col("last"), F.lit(True)))
     parts = open_.select("conv_id", "msg_idx", "query", F.explode(texts("content")).alias("t")).select("conv_id", "msg_idx", "query", "t.path", "t.text")
-    parts = parts.where(F.char_length("text") >= cfg.min_message_chars).withColumn("block_id", F.xxhash64("conv_id", "msg_idx", "path"))
+    parts = parts.where(F.char_length("text") >= cfg.min_message_chars).withColumn("block_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("msg_idx").cast("string"), "path"))
     decided = select_blocks(parts, keep, cfg, embed).where("changed")
     edits = decided.groupBy("conv_id", "msg_idx").agg(F.map_from_entries(F.collect_list(F.struct("path", "new_text"))).alias("edits"))
     joined = messages.join(edits, ["conv_id", "msg_idx"], "left")

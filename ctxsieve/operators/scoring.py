@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import has_token, tokens
 from ..workers import ship
 
 #: Scores are rounded so that the order of float sums can't flip a decision.
@@ -52,7 +52,7 @@ def lexical_scores(blocks: DataFrame) -> DataFrame:
     """``block_id, idx, score`` of the chunks of ``blocks`` that have a token; others score 0."""
     scored = blocks.join(block_scores(blocks), "block_id")
     rows = scored.select("block_id", F.posexplode(F.arrays_zip("chunks", "scores")).alias("idx", "c"))
-    return rows.where(F.size(tokens(F.col("c.chunks"))) > 0).select("block_id", "idx", F.col("c.scores").alias("score"))
+    return rows.where(has_token(F.col("c.chunks"))).select("block_id", "idx", F.col("c.scores").alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:

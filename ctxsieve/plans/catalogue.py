@@ -15,7 +15,9 @@ from ..functions.text import approx_tokens, last_json_object, marker_total, matc
 from ..operators import admission, documents, evaluation, freeze, messages, scoring, selection, sweep
 from ..operators.chunking import line_windows, sentences, split_chunks
 from ..sources.tables import table
+from ..sources import transcripts
 from ..sources.transcripts import dataset_slice
+from ..streaming.admission import admit_stream, live_question_stream
 from ..streaming.freeze import frozen_stream
 from ..streaming.windows import event_windows
 from .oracles import ORACLES
@@ -90,18 +92,13 @@ def pinned_chunks(spark, sf_dir):
     return docs.where(matches_any(F.col("chunk"), DATA_PINS)).select("doc_id", "idx")
 
 
-def pinned_default_all(spark, sf_dir):
+def pinned_default(spark, sf_dir):
     """The default pins over every sentence."""
     said = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.lit("You Must not. "), "chunk")).when(F.pmod("doc_id", F.lit(3)) == 1, F.concat(F.lit("mustard api_key "), "chunk")).otherwise(F.col("chunk"))
     docs = chunk_sentences(spark, sf_dir).withColumn("chunk", said)
     return docs.select("doc_id", "idx", matches_any(F.col("chunk"), CFG.pin_patterns).alias("pinned"))
 
 
-def pinned_default(spark, sf_dir):
-    """The first three sentences only, as in the SQL twin."""
-    return pinned_default_all(spark, sf_dir).where("idx < 3")
-
-
 def rare_entities(spark, sf_dir):
     rows = selection.with_rare(_chunked(spark, sf_dir)).select("block_id", F.array_join(F.array_sort("rare"), ",").alias("rare"))
     return rows.where("rare is not null")
@@ -376,28 +373,105 @@ def dataset_page(spark, sf_dir):
     return dataset_slice(table(spark, sf_dir, "benchmark"), "item_id", 5, 10).select("item_id", F.md5("text").alias("text_md5"))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all machines see; a temporary one only where the session runs on one machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{where or tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}"
+
+
 def _drained(stream: DataFrame, name: str) -> DataFrame:
-    spark = stream.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{where}/{name}-{uuid.uuid4().hex}").start()
+    """All rows that a stream gives for what is there now, written as Parquet and read again."""
+    spark, place = stream.sparkSession, _folder(stream.sparkSession, name)
+    query = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{place}/state").start(f"{place}/rows")
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
 
 
-def stream_freeze(spark, sf_dir):
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def _stateful(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
+    """What ``run`` gives under the state store that keyed processors need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        # a stream's path is a folder or a pattern, and the table may be one file
-        source = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")
-        stream = frozen_stream(source.select(F.col("doc_id").alias("turn"), "text", F.lit("q").alias("query")))
-        return _drained(stream, "ctxsieve_frozen").select("turn", "block_key", "first_turn")
+        return run()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream; its path is a folder or a pattern, and the table may be one file."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def stream_freeze(spark, sf_dir):
+    rows = _stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("turn"), "text", F.lit("q").alias("query"))
+    return _stateful(spark, lambda: _drained(frozen_stream(rows), "ctxsieve_frozen")).select("turn", "block_key", "first_turn")
+
+
+def stream_live_question(spark, sf_dir):
+    rows = _stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("ord"), F.when(F.col("role") == "user", F.col("text")).alias("question"))
+    live = _stateful(spark, lambda: _drained(live_question_stream(rows), "ctxsieve_live"))
+    return live.select("session", "ord", F.md5("live_question").alias("question_md5"))
+
+
+def stream_admit(spark, sf_dir):
+    """Tool outputs of a stream, each trimmed on its own before it enters a context."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("i"), F.col("text").alias("question"))
+    n = max(1, items.count())
+    pages = _stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("block_id"), F.when(F.pmod("doc_id", F.lit(5)) == 0, "Write").otherwise("Read").alias("tool"),
+                                                       F.when(F.pmod("doc_id", F.lit(7)) == 0, F.concat(F.lit("{"), "text")).otherwise(F.col("text")).alias("text"), F.lit("page").alias("arguments"))
+    done = _drained(admit_stream(pages.join(items, F.pmod("block_id", F.lit(n)) == F.col("i")).drop("i"), 0.8), "ctxsieve_admit")
+    return done.select("block_id", F.md5("updated").alias("updated_md5"), F.col("envelope").isNotNull().alias("sent"))
 
 
 def stream_event_windows(spark, sf_dir):
-    return event_windows(table(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "total")
+    """Windows over the events as a stream; each batch writes the windows as they stand."""
+    place = _folder(spark, "ctxsieve_windows")
+    rows = event_windows(_stream(spark, sf_dir, "events"))
+    rows.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{place}/state").foreachBatch(
+        lambda batch, _: batch.write.mode("overwrite").parquet(f"{place}/rows")).start().awaitTermination()
+    done = spark.read.schema(rows.schema).parquet(f"{place}/rows")
+    return done.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "total")
+
+
+def _lines(spark, sf_dir):
+    """Conversations as transcript lines: a user's text in parts, an assistant's as a call and its result."""
+    rows = _messages(spark, sf_dir)
+    call = F.concat_ws("-", "conv_id", "msg_idx")
+    text = F.struct(F.lit("text").alias("type"), F.col("content").alias("text"))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    use = F.struct(F.lit("tool_use").alias("type"), call.alias("id"), F.lit("Read").alias("name"), F.struct(F.concat(F.lit("f"), F.col("msg_idx").cast("string")).alias("file_path")).alias("input"))
+    result = F.struct(F.lit("tool_result").alias("type"), call.alias("tool_use_id"), F.array(text).alias("content"))
+    asked = rows.where("role = 'user'").select("conv_id", (F.col("msg_idx") * 2).alias("line_no"), F.to_json(F.struct(message("user", F.array(text)).alias("message"))).alias("raw"))
+    calls = rows.where("role <> 'user'").select("conv_id", (F.col("msg_idx") * 2).alias("line_no"), F.to_json(F.struct(message("assistant", F.array(use)).alias("message"))).alias("raw"))
+    told = F.struct(message("user", F.array(result)).alias("message"), F.struct(F.concat("content", F.lit("!")).alias("stdout")).alias("toolUseResult"))
+    results = rows.where("role <> 'user'").select("conv_id", (F.col("msg_idx") * 2 + 1).alias("line_no"), F.to_json(told).alias("raw"))
+    every = asked.unionByName(calls).unionByName(results)
+    return every.select(F.col("conv_id").cast("string").alias("file"), "line_no", F.lit(10**9).alias("n_lines"), F.parse_json("raw").alias("value"))
+
+
+def transcript_outputs(spark, sf_dir):
+    rows = transcripts.replay_outputs(_lines(spark, sf_dir))
+    return rows.select("block_id", "tool", "arguments", F.md5("text").alias("text_md5"), F.md5("question").alias("question_md5"))
+
+
+def transcript_question(spark, sf_dir):
+    return transcripts.latest_question(_lines(spark, sf_dir), 10**9).select("file", F.md5("question").alias("question_md5"))
+
+
+def sweep_message_parts(spark, sf_dir):
+    """Events as messages of JSON parts: a view is the result of a read, others are calls with a body."""
+    rows = _with_reads(_transcript(spark, sf_dir))
+    given = F.struct(F.col("file_path"), F.col("body").alias("content"))
+    use = F.struct(F.lit("tool_use").alias("type"), F.col("tool_use_id").alias("id"), F.col("tool_name").alias("name"), given.alias("input"))
+    result = F.struct(F.lit("tool_result").alias("type"), "tool_use_id", F.array(F.struct(F.lit("text").alias("type"), F.col("body").alias("text"))).alias("content"))
+    content = F.when(F.col("kind") == "tool_use", F.to_json(F.array(use))).otherwise(F.to_json(F.array(result)))
+    done = sweep.sweep_messages(rows.select("conv_id", F.col("ord").alias("msg_idx"), content.alias("content")))
+    part = F.element_at(F.try_variant_get(F.parse_json("new_content"), "$", "array<variant>"), 1)
+    marker = F.coalesce(F.try_variant_get(part, "$.input.content", "string"), F.try_variant_get(part, "$.content", "string"))
+    return done.where("new_content <> content").select("conv_id", "msg_idx", F.md5(marker).alias("marker_md5"), F.col("tokens_saved").cast("long").alias("tokens_saved"))
 
 
 def strip_texts(spark, sf_dir):
@@ -408,10 +482,10 @@ def strip_texts(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        chunk_sentences, chunk_delimited, chunk_line_windows, tokenize_counts, block_idf, lexical_scores, pinned_chunks, pinned_default, pinned_default_all, rare_entities, budget_topk,
+        chunk_sentences, chunk_delimited, chunk_line_windows, tokenize_counts, block_idf, lexical_scores, pinned_chunks, pinned_default, rare_entities, budget_topk,
         select_flagship, select_embedded, dropped_runs, selection_stats, tokens_saved, marker_accounting, keep_sweep, tier_keep, conv_route, conv_trim, conv_trim_summary,
         conv_trim_parts, freeze_first_sight, freeze_decisions, duplicate_payloads, sweep_edits, sweep_cut_point, live_question_asof, docset_spans, docset_filter, docset_compress,
         pad_context, build_context, pool_antijoin, gold_recall, gold_recall_whole, ab_metrics, grade_hist, pair_order, last_json, dense_scores, dense_topk, admit_tool_output, admission_eligible,
-        replay_sessions, replay_report, dataset_page, stream_freeze, stream_event_windows, strip_texts,
+        replay_sessions, replay_report, dataset_page, stream_freeze, stream_live_question, stream_admit, stream_event_windows, strip_texts, transcript_outputs, transcript_question, sweep_message_parts,
     )
 }

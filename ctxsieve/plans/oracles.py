@@ -98,7 +98,7 @@ flags AS (SELECT ds.set_id, ds.pos, ds.text, coalesce(f.kept, true) AS kept FROM
   SELECT kp.block_id AS set_id, chn.places[kp.idx + 1] AS pos, kp.kept FROM kp JOIN chn USING (block_id)) f USING (set_id, pos))"""
 
 _POOL = "pool AS (SELECT 't' || doc_id AS title, text FROM (SELECT doc_id, text FROM documents WHERE length(text) > 0 ORDER BY doc_id LIMIT 3000))"
-_OWN = "own AS (SELECT text AS question, 't' || item_id AS title, text FROM benchmark WHERE item_id < 40)"
+_OWN = "own AS (SELECT text AS question, 't' || item_id AS title, text FROM benchmark)"
 _PADDED = f"""WITH {_POOL}, {_OWN}, base AS (SELECT question, sum((length(title) + 2 + length(text)) // 4) AS base FROM own GROUP BY question),
 free AS (SELECT base.question, base, pool.title, pool.text, (length(pool.title) + 2 + length(pool.text)) // 4 AS cost FROM base CROSS JOIN pool
   WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.question = base.question AND own.title = pool.title)),
@@ -138,7 +138,7 @@ ORACLES: dict[str, str] = {
     "pinned_chunks": f"""SELECT doc_id, idx FROM (SELECT doc_id, unnest(c) AS chunk, unnest(range(len(c))) AS idx FROM (SELECT doc_id, {_sentences('text')} AS c FROM documents))
 WHERE regexp_matches(chunk, '(?i)licen[sc]e') OR regexp_matches(chunk, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+') OR regexp_matches(chunk, '(?i)(token|password|secret)\\s*=')""",
     "pinned_default": f"""SELECT doc_id, idx, regexp_matches(CASE doc_id % 3 WHEN 0 THEN 'You Must not. ' WHEN 1 THEN 'mustard api_key ' ELSE '' END || chunk, '{_PINS}') AS pinned
-FROM (SELECT doc_id, unnest(c) AS chunk, unnest(range(len(c))) AS idx FROM (SELECT doc_id, {_sentences('text')} AS c FROM documents)) WHERE idx < 3""",
+FROM (SELECT doc_id, unnest(c) AS chunk, unnest(range(len(c))) AS idx FROM (SELECT doc_id, {_sentences('text')} AS c FROM documents))""",
     "rare_entities": f"{_CHUNKS} SELECT block_id, array_to_string(list_sort(rare), ',') AS rare FROM rare",
     "budget_topk": f"{_SCORES} SELECT block_id, idx, rn FROM rk WHERE rn <= {_budget('0.6')}",
     "select_flagship": f"{_DONE} SELECT block_id, n, kept, changed, md5(new_text) AS text_md5 FROM done WHERE {_BLOCKS_800}",
@@ -199,5 +199,21 @@ r AS (SELECT *, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PART
     "dataset_page": "SELECT item_id, md5(text) AS text_md5 FROM benchmark ORDER BY item_id LIMIT 10 OFFSET 5",
     "stream_freeze": "SELECT doc_id AS turn, substr(md5(text), 1, 12) AS block_key, min(doc_id) OVER (PARTITION BY substr(md5(text), 1, 12)) AS first_turn FROM documents",
     "stream_event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
+    "stream_live_question": """SELECT conv_id AS session, turn AS ord, md5(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS question_md5
+FROM conversations""",
+    "stream_admit": f"""{_outputs((0.8,))} SELECT outs.block_id, md5(CASE WHEN done.changed AND length(done.new_text) < length(outs.text) THEN done.new_text END) AS updated_md5,
+  coalesce(done.changed AND length(done.new_text) < length(outs.text), false) AS sent FROM outs LEFT JOIN done USING (block_id)""",
+    "transcript_outputs": """WITH c AS (SELECT *, last_value(CASE WHEN role = 'user' AND trim(text, E' \\n\\t\\r') <> '' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS question FROM conversations)
+SELECT conv_id || ':' || (turn * 2 + 1) || ':0' AS block_id, 'Read' AS tool, 'Read f' || turn AS arguments, md5(text || '!') AS text_md5, md5(question) AS question_md5 FROM c WHERE role <> 'user'""",
+    "transcript_question": """SELECT conv_id::VARCHAR AS file, md5(arg_max(text, turn) FILTER (role = 'user' AND trim(text, E' \\n\\t\\r') <> '')) AS question_md5 FROM conversations GROUP BY conv_id""",
+    "sweep_message_parts": f"""WITH {_EVENTS}, p AS (SELECT conv_id, ord * 2 AS ord, event_type, 'f' || k % 7 AS path, repeat(k % 10 || 'x', (300 + 10 * k) // 2) AS body FROM ev),
+w AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN ord END) OVER (PARTITION BY conv_id, path) AS written,
+  max(CASE WHEN event_type IN ('purchase', 'click') THEN ord END) OVER (PARTITION BY conv_id, path) AS touched,
+  row_number() OVER (PARTITION BY conv_id, event_type = 'view' AND length(body) >= 400, body ORDER BY ord) AS copy FROM p),
+r AS (SELECT *, CASE WHEN length(body) < 400 THEN NULL WHEN event_type <> 'view' AND written > ord THEN 'superseded' WHEN event_type = 'view' AND copy > 1 THEN 'duplicate'
+  WHEN event_type = 'view' AND touched > ord THEN 'stale' END AS reason FROM w),
+m AS (SELECT *, replace(CASE reason WHEN 'superseded' THEN '{MARKERS["superseded"]}' WHEN 'duplicate' THEN '{MARKERS["duplicate"]}' ELSE '{MARKERS["stale"]}' END, '{{path}}', path) AS marker FROM r WHERE reason IS NOT NULL)
+SELECT conv_id, ord AS msg_idx, md5(marker) AS marker_md5, CASE WHEN event_type = 'view' THEN length(body) // 4 - length(marker) // 4
+  ELSE (length(body) + 33 + length(path)) // 4 - (length(marker) + 33 + length(path)) // 4 END AS tokens_saved FROM m""",
     "strip_texts": "SELECT item_id, md5(trim(text, E' \\n\\t\\r')) AS text_md5 FROM benchmark",
 }
