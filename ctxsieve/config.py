@@ -60,3 +60,10 @@ def keep_column(cfg: SelectionConfig, tier, complexity=None):
         score = complexity if isinstance(complexity, Column) else F.lit(float(complexity))
         wanted = F.coalesce(0.30 + 0.6 * score.cast("double"), wanted)
     return F.greatest(F.lit(cfg.min_keep_ratio), F.least(F.lit(cfg.max_keep_ratio), wanted))
+
+
+def from_conf(spark, prefix: str = "ctxsieve."):
+    """``keep, cfg, enabled`` of the session's settings ``ctxsieve.keep``, ``ctxsieve.minChars`` and ``ctxsieve.disable``."""
+    get = lambda k: spark.conf.get(prefix + k, None)
+    cfg = replace(SelectionConfig(), **({"min_message_chars": int(get("minChars"))} if get("minChars") else {}))
+    return float(get("keep") or 0.8), cfg, (get("disable") or "").lower() not in ("1", "true", "yes")

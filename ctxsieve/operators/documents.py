@@ -21,7 +21,9 @@ def document_spans(docs: DataFrame) -> DataFrame:
 
 def joined_sets(docs: DataFrame, query: str = "query") -> DataFrame:
     """``block_id, text, query, rows``: each set's documents as one block, and all their columns in order."""
-    rows = docs.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", F.struct(*docs.columns).alias("row")))).alias("rows"), F.max(query).alias("query"))
+    # by a comparison, as other columns may be of types without an order
+    ahead = lambda a, b: F.when((a["pos"] < b["pos"]) | a["pos"].eqNullSafe(b["pos"]) & (a["text"] < b["text"]), -1).when(a["pos"].eqNullSafe(b["pos"]) & a["text"].eqNullSafe(b["text"]), 0).otherwise(1)
+    rows = docs.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", F.struct(*docs.columns).alias("row"))), ahead).alias("rows"), F.max(query).alias("query"))
     return rows.select(F.col("set_id").alias("block_id"), F.array_join(F.transform("rows", lambda r: F.coalesce(r["text"], F.lit(""))), SEPARATOR).alias("text"), "query", "rows")
 
 

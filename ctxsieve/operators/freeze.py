@@ -34,3 +34,36 @@ def with_decisions(blocks: DataFrame, decisions: DataFrame, keep: float = 0.6, c
     fresh = seen.where("is_first").join(decisions, "block_key", "left_anti").withColumn("block_id", F.col("block_key"))
     made = decisions.select("block_key", "new_text", "changed").unionByName(select_blocks(fresh, keep, cfg).select("block_key", "new_text", "changed"))
     return seen.join(made, "block_key", "left"), made
+
+
+class Decisions:
+    """A folder of decisions ``(block_key, new_text, changed)`` that later turns replay, and new blocks extend."""
+
+    def __init__(self, spark, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def table(self) -> DataFrame:
+        """All decisions; none before the first turn."""
+        schema = "block_key string, new_text string, changed boolean"
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        place = jvm.org.apache.hadoop.fs.Path(self.path)
+        if not place.getFileSystem(conf).exists(place):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path)
+
+    def get(self, text: str) -> DataFrame:
+        """The decision about one block: a row, or none."""
+        return self.table().where(F.col("block_key") == F.substring(F.md5(F.lit(text)), 1, 12))
+
+    def __contains__(self, text: str) -> bool:
+        return not self.get(text).isEmpty()
+
+    def __len__(self) -> int:
+        return self.table().count()
+
+    def apply(self, blocks: DataFrame, keep: float = 0.6, cfg: SelectionConfig | None = None) -> DataFrame:
+        """``blocks (turn, text, query)`` with what is decided about them; what is new is decided and written first."""
+        known = self.table()
+        fresh = first_sight(blocks).where("is_first").join(known, "block_key", "left_anti").withColumn("block_id", F.col("block_key"))
+        select_blocks(fresh, keep, cfg).select("block_key", "new_text", "changed").write.mode("append").parquet(self.path)
+        return first_sight(blocks).join(self.table(), "block_key", "left")

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SelectionConfig
@@ -95,14 +95,16 @@ def _said(content) -> str:
     return " ".join(p["text"] for p in parts if isinstance(p, dict) and p.get("type") == "text" and isinstance(p.get("text"), str))
 
 
-def trim_parts(messages: DataFrame, keep: float = 0.6, cfg: SelectionConfig | None = None, embed: Callable | None = None) -> DataFrame:
+def trim_parts(messages: DataFrame, keep: float | Column = 0.6, cfg: SelectionConfig | None = None, embed: Callable | None = None) -> DataFrame:
     """As ``trim_messages`` for contents that are JSON: a string or a list of parts.
 
     Text parts and tool results are trimmed at any depth; other parts, other fields and
-    invalid JSON pass through.  Selection itself stays in DataFrame functions.
+    invalid JSON pass through.  Selection itself stays in DataFrame functions.  ``keep`` may be a
+    column of ``messages``.
     """
     ship(messages.sparkSession)
-    cfg = (cfg or SelectionConfig()).with_keep(keep)
+    fixed = isinstance(keep, (int, float))
+    cfg = (cfg or SelectionConfig()).with_keep(keep) if fixed else cfg or SelectionConfig()
 
     @F.pandas_udf("string")
     def said(raw: pd.Series) -> pd.Series:
@@ -117,15 +119,16 @@ def trim_parts(messages: DataFrame, keep: float = 0.6, cfg: SelectionConfig | No
         out = [x if n is None else json.dumps(_patched(json.loads(x), dict(n)), ensure_ascii=False) for x, n in zip(raw, new)]
         return pd.Series(out, dtype=object)
 
-    flat = messages.select("conv_id", "msg_idx", "role", "content", said("content").alias("said"))
+    share = F.lit(float(keep)) if fixed else keep
+    flat = messages.select("conv_id", "msg_idx", "role", "content", said("content").alias("said"), share.cast("double").alias("share"))
     conv, user = Window.partitionBy("conv_id"), F.col("role") == "user"
     asked = user & (strip(F.col("said")) != "")
     routed = flat.withColumn("last", F.max(F.when(user, F.col("msg_idx"))).over(conv)).withColumn(
         "query", F.max_by(F.when(asked, F.col("said")), F.when(asked, F.col("msg_idx"))).over(conv))
     open_ = routed.where(F.col("role").isin(*cfg.selectable_roles) & F.col("query").isNotNull() & F.coalesce(F.col("msg_idx") != F.col("last"), F.lit(True)))
-    parts = open_.select("conv_id", "msg_idx", "query", F.explode(texts("content")).alias("t")).select("conv_id", "msg_idx", "query", "t.path", "t.text")
+    parts = open_.select("conv_id", "msg_idx", "query", "share", F.explode(texts("content")).alias("t")).select("conv_id", "msg_idx", "query", "share", "t.path", "t.text")
     parts = parts.where(F.char_length("text") >= cfg.min_message_chars).withColumn("block_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("msg_idx").cast("string"), "path"))
-    decided = select_blocks(parts, keep, cfg, embed).where("changed")
+    decided = select_blocks(parts, F.col("share"), cfg, embed).where("changed")
     edits = decided.groupBy("conv_id", "msg_idx").agg(F.map_from_entries(F.collect_list(F.struct("path", "new_text"))).alias("edits"))
     joined = messages.join(edits, ["conv_id", "msg_idx"], "left")
     return joined.withColumn("changed", F.col("edits").isNotNull()).withColumn("new_content", patched("content", "edits")).drop("edits")

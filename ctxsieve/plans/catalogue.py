@@ -18,7 +18,7 @@ from ..sources.tables import table
 from ..sources import transcripts
 from ..sources.transcripts import dataset_slice
 from ..streaming.admission import admit_stream, live_question_stream
-from ..streaming.freeze import frozen_stream
+from ..streaming.freeze import decided_stream, frozen_stream
 from ..streaming.windows import event_windows
 from .oracles import ORACLES
 
@@ -286,12 +286,6 @@ def pool_antijoin(spark, sf_dir):
 
 
 def gold_recall(spark, sf_dir):
-    done = selection.select_blocks(_blocks(spark, sf_dir), 0.6, CFG)
-    said = F.substr("query", F.lit(1), F.lit(40))
-    return done.select("block_id", F.contains("text", said).cast("int").alias("gold_total"), (F.contains("text", said) & F.contains("new_text", said)).cast("int").alias("gold_kept"))
-
-
-def gold_recall_whole(spark, sf_dir):
     """The whole item as gold: kept if each of its sentences is, as a rebuilt text joins chunks anew."""
     done = selection.select_blocks(_blocks(spark, sf_dir), 0.6, CFG)
     held = F.contains("text", "query")
@@ -316,6 +310,23 @@ def grade_hist(spark, sf_dir):
     return evaluation.grade_histogram(_pairs(spark, sf_dir), "grade_full")
 
 
+def unblinded_grades(spark, sf_dir):
+    """Replies of a judge who prefers A, turned back to the answers shown."""
+    said = F.concat(F.lit('so {"a_grade": "correct", "b_grade": "partial", "materially_worse": true, "worse_answer": "B", "reason": "r'), F.col("item_id").cast("string"), F.lit('"}'))
+    reply = F.when(F.pmod("item_id", F.lit(5)) == 0, "no verdict").otherwise(said)
+    rows = evaluation.unblinded(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"), reply.alias("reply")))
+    return rows.select("item_id", "parsed", "grade_full", "grade_selected", "materially_worse", "judge_reason")
+
+
+def reply_rates(spark, sf_dir):
+    rows = unblinded_grades(spark, sf_dir).select("parsed", (F.pmod("item_id", F.lit(7)) == 0).alias("truncated"))
+    return evaluation.reply_rates(rows)
+
+
+def baseline_grades(spark, sf_dir):
+    return evaluation.baseline_metrics(_pairs(spark, sf_dir).select(F.col("grade_full").alias("grade")))
+
+
 def pair_order(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", evaluation.swapped(F.col("text")).alias("swapped"))
 
@@ -410,6 +421,12 @@ def stream_freeze(spark, sf_dir):
     return _stateful(spark, lambda: _drained(frozen_stream(rows), "ctxsieve_frozen")).select("turn", "block_key", "first_turn")
 
 
+def stream_decided(spark, sf_dir):
+    rows = _stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("turn"), "text", F.lit("the question of all").alias("query"))
+    done = _stateful(spark, lambda: _drained(decided_stream(rows, 0.6, CFG), "ctxsieve_decided"))
+    return done.select("turn", "first_turn", "changed", F.md5("new_text").alias("text_md5"))
+
+
 def stream_live_question(spark, sf_dir):
     rows = _stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("ord"), F.when(F.col("role") == "user", F.col("text")).alias("question"))
     live = _stateful(spark, lambda: _drained(live_question_stream(rows), "ctxsieve_live"))
@@ -485,7 +502,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chunk_sentences, chunk_delimited, chunk_line_windows, tokenize_counts, block_idf, lexical_scores, pinned_chunks, pinned_default, rare_entities, budget_topk,
         select_flagship, select_embedded, dropped_runs, selection_stats, tokens_saved, marker_accounting, keep_sweep, tier_keep, conv_route, conv_trim, conv_trim_summary,
         conv_trim_parts, freeze_first_sight, freeze_decisions, duplicate_payloads, sweep_edits, sweep_cut_point, live_question_asof, docset_spans, docset_filter, docset_compress,
-        pad_context, build_context, pool_antijoin, gold_recall, gold_recall_whole, ab_metrics, grade_hist, pair_order, last_json, dense_scores, dense_topk, admit_tool_output, admission_eligible,
-        replay_sessions, replay_report, dataset_page, stream_freeze, stream_live_question, stream_admit, stream_event_windows, strip_texts, transcript_outputs, transcript_question, sweep_message_parts,
+        pad_context, build_context, pool_antijoin, gold_recall, ab_metrics, grade_hist, pair_order, unblinded_grades, reply_rates, baseline_grades, last_json, dense_scores, dense_topk, admit_tool_output, admission_eligible,
+        replay_sessions, replay_report, dataset_page, stream_freeze, stream_decided, stream_live_question, stream_admit, stream_event_windows, strip_texts, transcript_outputs, transcript_question, sweep_message_parts,
     )
 }

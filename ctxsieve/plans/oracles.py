@@ -16,6 +16,10 @@ def _sentences(text: str) -> str:
     return f"list_filter(string_split(regexp_replace(trim({text}, {_WHITE}), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
 
 
+def _letters(text: str) -> str:
+    return f"list_transform(range(26), lambda i: (length(lower({text})) - length(replace(lower({text}), chr((97 + i)::INT), '')))::DOUBLE)"
+
+
 _DOCUMENT_BLOCKS = """SELECT d.doc_id AS block_id, d.text, b.text AS query FROM documents d
   JOIN benchmark b ON b.item_id = d.doc_id % (SELECT greatest(1, count(*)) FROM benchmark)"""
 
@@ -100,10 +104,11 @@ flags AS (SELECT ds.set_id, ds.pos, ds.text, coalesce(f.kept, true) AS kept FROM
 _POOL = "pool AS (SELECT 't' || doc_id AS title, text FROM (SELECT doc_id, text FROM documents WHERE length(text) > 0 ORDER BY doc_id LIMIT 3000))"
 _OWN = "own AS (SELECT text AS question, 't' || item_id AS title, text FROM benchmark)"
 _PADDED = f"""WITH {_POOL}, {_OWN}, base AS (SELECT question, sum((length(title) + 2 + length(text)) // 4) AS base FROM own GROUP BY question),
-free AS (SELECT base.question, base, pool.title, pool.text, (length(pool.title) + 2 + length(pool.text)) // 4 AS cost FROM base CROSS JOIN pool
-  WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.question = base.question AND own.title = pool.title)),
-walk AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY question ORDER BY md5(question || title), title ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
-  row_number() OVER (PARTITION BY question ORDER BY md5(question || title), title) AS nth FROM free),
+ring AS (SELECT title, text, row_number() OVER (ORDER BY title, text) - 1 AS spot, count(*) OVER () AS size FROM pool),
+free AS (SELECT base.question, base, ring.title, ring.text, (spot - ('0x' || substr(md5(base.question), 1, 8))::BIGINT % size + size) % size AS far, (length(ring.title) + 2 + length(ring.text)) // 4 AS cost FROM base CROSS JOIN ring
+  WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.question = base.question AND own.title = ring.title)),
+walk AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY question ORDER BY far ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+  row_number() OVER (PARTITION BY question ORDER BY far) AS nth FROM free),
 padded AS (SELECT question, 0 AS pos, title, text FROM own UNION ALL SELECT question, nth + 100000, title, text FROM walk WHERE base + used < 4000)"""
 
 _PAIRS = """WITH pairs AS (SELECT l.doc_id, length(d.text) // 4 AS tokens_full, length(d.text) * 3 // 20 AS tokens_selected, 2 AS gold_total, l.quality + 1 AS gold_kept,
@@ -179,8 +184,21 @@ SELECT set_id, pos, start, start + l AS stop FROM a""",
     "build_context": f"""{_PADDED}, o AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY md5(title || question), title, pos) AS i FROM padded)
 SELECT md5(question) AS question_md5, md5(string_agg('[' || i || '] ' || title || ': ' || text, E'\\n\\n' ORDER BY i)) AS context_md5 FROM o GROUP BY question""",
     "pool_antijoin": f"WITH {_POOL}, {_OWN} SELECT title FROM pool WHERE title NOT IN (SELECT title FROM own)",
-    "gold_recall": f"""{_DONE} SELECT block_id, contains(text, substr(query, 1, 40))::INT AS gold_total, (contains(text, substr(query, 1, 40)) AND contains(new_text, substr(query, 1, 40)))::INT AS gold_kept
+    "gold_recall": f"""{_DONE} SELECT block_id, contains(text, query)::INT AS gold_total, (contains(text, query) AND len(list_filter({_sentences("query")}, lambda x: NOT contains(new_text, x))) = 0)::INT AS gold_kept
 FROM done WHERE {_BLOCKS_800}""",
+    "select_embedded": f"""{_CHUNKS}, sc AS (SELECT block_id, idx, round(CASE WHEN list_sum(a) > 0 AND list_sum(b) > 0 THEN list_cosine_similarity(a, b) ELSE 0 END, 12) AS score FROM (
+  SELECT block_id, idx, {_letters("chunk")} AS a, {_letters("query")} AS b FROM (SELECT block_id, query, unnest(chunks) AS chunk, unnest(range(n)) AS idx FROM chn))),
+{_SCORED[_SCORED.index("sd AS"):]}, {_decided()} SELECT block_id, n, kept, changed, md5(new_text) AS text_md5 FROM done WHERE {_BLOCKS_800}""",
+    "conv_trim_parts": f"""{_CONV_DONE.replace("role IN ('user', 'assistant') AND", "role = 'assistant' AND turn % 2 = 1 AND".replace("turn", "msg_idx"))} SELECT conv_id, msg_idx, changed FROM trimmed""",
+    "unblinded_grades": """WITH b AS (SELECT item_id, ('0x' || substr(md5(text), 1, 8))::BIGINT % 2 = 1 AS swap, item_id % 5 <> 0 AS parsed FROM benchmark)
+SELECT item_id, parsed, CASE WHEN parsed THEN CASE WHEN swap THEN 'partial' ELSE 'correct' END END AS grade_full, CASE WHEN parsed THEN CASE WHEN swap THEN 'correct' ELSE 'partial' END END AS grade_selected,
+  parsed AND NOT swap AS materially_worse, CASE WHEN parsed THEN 'r' || item_id ELSE '' END AS judge_reason FROM b""",
+    "reply_rates": """SELECT count(*) AS replies, count(*) FILTER (item_id % 5 <> 0) AS judged, count(*) FILTER (item_id % 5 = 0) AS parse_dropped, count(*) FILTER (item_id % 7 = 0) AS truncated,
+  round(100.0::DOUBLE * count(*) FILTER (item_id % 5 = 0) / count(*), 6) AS parse_dropped_pct, round(100.0::DOUBLE * count(*) FILTER (item_id % 7 = 0) / count(*), 6) AS truncated_pct FROM benchmark""",
+    "baseline_grades": f"""{_PAIRS} SELECT g.grade, count(p.a) AS n, round(100.0::DOUBLE * count(p.a) / (SELECT count(*) FROM pairs), 6) AS share_pct
+FROM (VALUES ('correct', true), ('incorrect', false), ('partial', NULL)) g(grade, v) LEFT JOIN pairs p ON p.a = g.v GROUP BY g.grade""",
+    "stream_decided": f"""WITH {_chunked("SELECT DISTINCT ON (text) doc_id AS block_id, text, 'the question of all' AS query FROM documents ORDER BY text, doc_id")}, {_SCORED}, {_decided()}
+SELECT d.doc_id AS turn, done.block_id AS first_turn, done.changed, md5(done.new_text) AS text_md5 FROM documents d JOIN done USING (text)""",
     "ab_metrics": f"""{_PAIRS} SELECT count(*) AS judged, round(100.0::DOUBLE * (sum(tokens_full) - sum(tokens_selected)) / sum(tokens_full), 6) AS tokens_saved_pct, round(100.0::DOUBLE * sum(gold_kept) / sum(gold_total), 6) AS gold_recall_pct,
   round(100.0::DOUBLE * count(*) FILTER (a) / count(*), 6) AS control_pct, round(100.0::DOUBLE * count(*) FILTER (b) / count(*), 6) AS treatment_pct, round(100.0::DOUBLE * count(*) FILTER (a AND NOT b) / count(*), 6) AS regression_pct,
   round(100.0::DOUBLE * count(*) FILTER (b AND NOT a) / count(*), 6) AS improvement_pct, round(100.0::DOUBLE * count(*) FILTER (worse) / count(*), 6) AS worse_pct FROM pairs""",

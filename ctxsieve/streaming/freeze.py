@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import sys
 from collections.abc import Iterator
 
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..workers import ship
+
 # The process that starts a stateful query gets no shipped files, so the processors travel whole.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -66,6 +69,42 @@ class _Recent(StatefulProcessor):
         pass
 
 
+class _Decided(StatefulProcessor):
+    """Keeps the text that the first turn decided for a block; later turns get it byte for byte."""
+
+    def __init__(self, keep: float, cfg) -> None:
+        self.keep, self.cfg = keep, cfg
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.made = handle.getValueState("made", "turn long, new_text string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        from ctxsieve.functions.single import trim_one
+
+        pdf = pd.concat(list(rows)).sort_values("turn", kind="stable")
+        if not self.made.exists():
+            first = pdf.iloc[0]
+            try:
+                new = trim_one(first["text"], first["query"], self.keep, self.cfg)
+            except Exception:
+                logging.getLogger("ctxsieve").warning("a block is left as it is", exc_info=True)
+                new = first["text"]
+            self.made.update((int(first["turn"]), new))
+        turn, new = self.made.get()
+        yield pd.DataFrame({"block_key": key[0], "turn": pdf["turn"], "first_turn": turn, "new_text": new, "changed": pdf["text"] != new})
+
+    def close(self) -> None:
+        pass
+
+
+def decided_stream(blocks: DataFrame, keep: float = 0.6, cfg=None) -> DataFrame:
+    """``block_key, turn, first_turn, new_text, changed`` of a stream of ``turn, text, query``."""
+    ship(blocks.sparkSession)
+    keyed = blocks.select(F.substring(F.md5("text"), 1, 12).alias("block_key"), F.col("turn").cast("long").alias("turn"), "text", "query")
+    return keyed.groupBy("block_key").transformWithStateInPandas(
+        _Decided(keep, cfg), "block_key string, turn long, first_turn long, new_text string, changed boolean", "Append", "None")
+
+
 def frozen_stream(blocks: DataFrame) -> DataFrame:
     """``block_key, turn, first_turn, first_query`` of a stream of ``turn, text, query``."""
     keyed = blocks.select(F.substring(F.md5("text"), 1, 12).alias("block_key"), F.col("turn").cast("long").alias("turn"), "query")
