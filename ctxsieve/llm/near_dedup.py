@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import BATCH, cut, keyed, numbered, release, ship, unused
+from .session import BATCH, counted, cut, keyed, numbered, release, ship, small, unused
 from .words import U64, chunks, hash_windows, hash_words, mix, utf8, word_spans
 
 BANDS, ROWS = 32, 4
@@ -125,6 +125,7 @@ def estimate(left: str, right: str) -> Column:
 def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """``a, b, linked`` of the pairs (a, b) that pass the bit counts: do their full sets pass?"""
     side = lambda name: nodes.select(F.col("rep").alias(name), F.struct(*_SIGNATURE).alias(f"sig_{name}"))
+    # ``nodes`` carries its own hint to be broadcast where it is small
     likely = pairs.join(side("a"), "a").join(side("b"), "b").where(estimate("sig_a", "sig_b") >= _FLOOR).select("a", "b")
     with_texts = likely.join(texts.select(F.col("row_id").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("row_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
@@ -271,16 +272,16 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
         nearest = both.groupBy("node").agg(F.min_by("other", F.xxhash64("other")).alias("first"))
-        parent = cut(nearest.select("node", F.when(F.xxhash64("first") < F.xxhash64("node"), F.col("first")).otherwise(F.col("node")).alias("parent")))
+        parent, n = counted(nearest.select("node", F.when(F.xxhash64("first") < F.xxhash64("node"), F.col("first")).otherwise(F.col("node")).alias("parent")))
         if labels is None:
-            labels = parent.toDF("node", "component")
+            labels, nodes = parent.toDF("node", "component"), n
         else:
-            labels = labels.join(parent.toDF("component", "parent"), "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
-        ends = links.join(parent.toDF("a", "x"), "a").join(parent.toDF("b", "y"), "b")
-        links = cut(ends.where("x != y").select(*_ordered("x", "y")).distinct())
+            labels = labels.join(small(parent.toDF("component", "parent"), n), "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
+        ends = links.join(small(parent.toDF("a", "x"), n), "a").join(small(parent.toDF("b", "y"), n), "b")
+        links, left = counted(ends.where("x != y").select(*_ordered("x", "y")).distinct())
         release(links.sparkSession)
-        if links.isEmpty():
-            return cut(labels)
+        if not left:
+            return small(cut(labels), nodes)
 
 
 def _placed(active: DataFrame, labels: DataFrame, least_size: int) -> DataFrame:
@@ -316,9 +317,9 @@ def _grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot != last").select("key", "pivot")
     active = cut(keys.join(shared, "key"))
     release(spark)
-    nodes = cut(reps.join(active.select("rep"), "rep", "left_semi").select("rep", "n_shingles", *_SIGNATURE, "bands"))
+    nodes, n = counted(reps.join(active.select("rep"), "rep", "left_semi").select("rep", "n_shingles", *_SIGNATURE, "bands"))
     texts = cut(rows.join(nodes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select("row_id", "text"))
-    nodes, bands = nodes.drop("bands"), nodes.select("rep", "bands")
+    nodes, bands = small(nodes.drop("bands"), n), nodes.select("rep", "bands")
     release(spark)
 
     tried = cut(_confirmed(_stars(bands, active), nodes, texts, shingle, percent), batch=BATCH)
@@ -326,13 +327,13 @@ def _grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     links = tried.where("linked")
     labels = components(links)
 
-    open_ = cut(_placed(active, labels, 3))  # a pair alone in a bucket has been tried
-    small, large = open_.where(F.col("n") <= _SMALL_BUCKET), open_.where(F.col("n") > _SMALL_BUCKET)
-    one, two = (small.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component"))) for s in ("a", "b"))
+    open_, n = counted(_placed(active, labels, 3))  # a pair alone in a bucket has been tried
+    few, large = open_.where(F.col("n") <= _SMALL_BUCKET), open_.where(F.col("n") > _SMALL_BUCKET)
+    one, two = (few.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component"))) for s in ("a", "b"))
     pairs = one.join(two, "key").where("rep_a < rep_b and component_a != component_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     if not large.isEmpty():
         pairs = pairs.union(_spanning_pairs(large, nodes, percent)).distinct()
-    if not open_.isEmpty():
+    if n:
         more = cut(_confirmed(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), nodes, texts, shingle, percent), batch=BATCH)
         release(spark)
         links = links.union(more.where("linked"))

@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -216,19 +215,15 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broa
     rows = copy.select(F.col(row).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spans = _found(rows, broadcast_bytes, **bootstrap).where(F.size("spans") > 0).select(F.col("row_id").alias(row), F.col("spans").alias(marks_col))
 
-    @F.pandas_udf("string")
-    def replaced(texts: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for text, marks in zip(texts, found):
-            if text is not None and marks is not None:
-                parts, done = [], 0
-                for s in marks:
-                    if s["start"] >= done:
-                        parts += [text[done : s["start"]], f"<{KINDS[s['kind']].upper()}>"]
-                    done = max(done, s["end"])
-                text = "".join(parts) + text[done:]
-            out.append(text)
-        return pd.Series(out, dtype=object)
-
+    text, kinds = F.col(text_col).cast("string"), F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
+    between = lambda a, b: F.substr(text, (a + 1).cast("int"), (b - a).cast("int"))
+    redacted = F.aggregate(
+        marks_col,
+        F.expr("named_struct('done', 0L, 'out', cast(array() as array<string>))"),
+        lambda s, x: F.struct(
+            F.greatest(s["done"], x["end"]).alias("done"),
+            F.when(x["start"] >= s["done"], F.concat(s["out"], F.array(between(s["done"], x["start"]), F.get(kinds, x["kind"])))).otherwise(s["out"]).alias("out")),
+        lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, (s["done"] + 1).cast("int"))),
+    )
     joined = copy.join(spans, row, "left")
-    return joined.withColumn(text_col, replaced(F.col(text_col).cast("string"), F.col(marks_col))).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(F.col(marks_col).isNotNull(), redacted).otherwise(text)).select(*docs.columns)

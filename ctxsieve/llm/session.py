@@ -7,13 +7,15 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..workers import ship
 
-__all__ = ["BATCH", "cut", "ensure_checkpoint_dir", "keyed", "numbered", "release", "ship", "unused"]
+__all__ = ["BATCH", "counted", "cut", "ensure_checkpoint_dir", "keyed", "numbered", "release", "ship", "small", "unused"]
 
+#: Rows that are broadcast at most, where their number has been counted: 4 MB.
+FEW = 60_000
 #: Rows of an Arrow batch of whole texts.
 BATCH = 1000
 _BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -48,6 +50,18 @@ def cut(df: DataFrame, batch: int | None = None) -> DataFrame:
         spark.conf.set(_BATCH_KEY, before)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut`` of ``df``, and its number of rows, taken on the way."""
+    seen = Observation()
+    done = cut(df.observe(seen, F.count("*").alias("n")))
+    return done, seen.get["n"]
+
+
+def small(df: DataFrame, n: int) -> DataFrame:
+    """``df``, to be broadcast if ``n`` rows of some 16 to 64 bytes are few: no shuffle then, nor a hot key in one."""
+    return F.broadcast(df) if n <= FEW else df
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files and checkpoints of steps that nothing refers to.
 
