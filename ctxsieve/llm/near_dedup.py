@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import BATCH, counted, cut, keyed, numbered, release, ship, small, unused
+from . import session
+from .session import BATCH, keyed, numbered, release, ship, small, unused
 from .words import U64, chunks, hash_windows, hash_words, mix, utf8, word_spans
 
 BANDS, ROWS = 32, 4
@@ -45,6 +46,19 @@ _SIGNATURE = [f"s{i}" for i in range(_LONGS)]
 _PIVOTS, _SMALL_BUCKET, _BLOCK, _TEXTS = 2, 32, 2048, 128
 
 
+def cut(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """``session.cut``; then the driver collects garbage, as many short jobs in a row fill its heap."""
+    done = session.cut(df, batch)
+    release(df.sparkSession)
+    return done
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    done = session.counted(df)
+    release(df.sparkSession)
+    return done
+
+
 def shingle_sets(column, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each document, sorted, and the bounds between documents."""
     data, offsets = utf8(column)
@@ -279,7 +293,6 @@ def components(links: DataFrame) -> DataFrame:
             labels = labels.join(small(parent.toDF("component", "parent"), n), "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
         ends = links.join(small(parent.toDF("a", "x"), n), "a").join(small(parent.toDF("b", "y"), n), "b")
         links, left = counted(ends.where("x != y").select(*_ordered("x", "y")).distinct())
-        release(links.sparkSession)
         if not left:
             return small(cut(labels), nodes)
 
@@ -316,14 +329,11 @@ def _grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     keys = reps.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot != last").select("key", "pivot")
     active = cut(keys.join(shared, "key"))
-    release(spark)
     nodes, n = counted(reps.join(active.select("rep"), "rep", "left_semi").select("rep", "n_shingles", *_SIGNATURE, "bands"))
     texts = cut(rows.join(nodes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select("row_id", "text"))
     nodes, bands = small(nodes.drop("bands"), n), nodes.select("rep", "bands")
-    release(spark)
 
     tried = cut(_confirmed(_stars(bands, active), nodes, texts, shingle, percent), batch=BATCH)
-    release(spark)
     links = tried.where("linked")
     labels = components(links)
 
@@ -335,14 +345,11 @@ def _grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
         pairs = pairs.union(_spanning_pairs(large, nodes, percent)).distinct()
     if n:
         more = cut(_confirmed(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), nodes, texts, shingle, percent), batch=BATCH)
-        release(spark)
         links = links.union(more.where("linked"))
         labels = components(links)
-        release(spark)
         large = cut(_placed(active.join(large.select("key").distinct(), "key", "left_semi"), labels, _SMALL_BUCKET + 1))
         if not large.isEmpty():
             labels = components(links.select("a", "b").union(_joining_links(large, nodes, texts, shingle, percent)))
-            release(spark)
 
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = of_class.groupBy("component").agg(F.min("low").alias("component_id"))
