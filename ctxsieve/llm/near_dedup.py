@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import session
-from .session import BATCH, keyed, numbered, release, ship, small, unused
+from .session import BATCH, FEW, keyed, numbered, release, ship, small, unused
 from .words import U64, chunks, hash_windows, hash_words, mix, utf8, word_spans
 
 BANDS, ROWS = 32, 4
@@ -275,26 +275,69 @@ def _joining_links(large: DataFrame, nodes: DataFrame, texts: DataFrame, k: int,
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, component`` of every node of ``links (a, b)``; the label is some node of the component.
+    """``node, component`` of every node of ``links (a, b)``; the label is some node of the component."""
+    return _labelled(links)[0]
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, parent`` of all links: the node itself and one node of its component."""
+    root: dict[int, int] = {}
+
+    def find(node: int) -> int:
+        while root.setdefault(node, node) != node:
+            root[node] = node = root[root[node]]
+        return node
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            root[find(a)] = find(b)
+    if root:
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "parent"])
+
+
+def _labelled(links: DataFrame) -> tuple[DataFrame, int]:
+    """``components`` of ``links``, and the number of nodes.
 
     Each round gives every node the neighbour that comes first in a hashed order, if that
     comes before the node itself, and contracts the links to those between different
-    labels.  The hashed order keeps chains short, and links shrink from round to round.
+    labels.  The hashed order keeps chains short, and links shrink from round to round;
+    as soon as they are counted as few, one task joins what is left.
     """
-    links = links.where("a != b").select(*_ordered("a", "b")).distinct()
-    labels = None
-    while True:
-        both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
-        nearest = both.groupBy("node").agg(F.min_by("other", F.xxhash64("other")).alias("first"))
-        parent, n = counted(nearest.select("node", F.when(F.xxhash64("first") < F.xxhash64("node"), F.col("first")).otherwise(F.col("node")).alias("parent")))
+    links, left = counted(links.where("a != b").select(*_ordered("a", "b")).distinct())
+    labels, nodes = None, 0
+    while left or labels is None:
+        if left <= FEW:
+            parent, n = counted(links.coalesce(1).mapInArrow(_united, "node long, parent long"))
+        else:
+            both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
+            nearest = both.groupBy("node").agg(F.min_by("other", F.xxhash64("other")).alias("first"))
+            parent, n = counted(nearest.select("node", F.when(F.xxhash64("first") < F.xxhash64("node"), F.col("first")).otherwise(F.col("node")).alias("parent")))
         if labels is None:
             labels, nodes = parent.toDF("node", "component"), n
         else:
             labels = labels.join(small(parent.toDF("component", "parent"), n), "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
+        if left <= FEW:
+            break
         ends = links.join(small(parent.toDF("a", "x"), n), "a").join(small(parent.toDF("b", "y"), n), "b")
         links, left = counted(ends.where("x != y").select(*_ordered("x", "y")).distinct())
-        if not left:
-            return small(cut(labels), nodes)
+    return small(cut(labels), nodes), nodes
+
+
+def _joined(labels: DataFrame, n: int, links: DataFrame) -> tuple[DataFrame, int]:
+    """``labels`` of ``n`` nodes after further ``links`` between nodes, and the number of nodes.
+
+    Only the links between different components, as links of their labels, go through rounds.
+    """
+    label = lambda end, name: labels.select(F.col("node").alias(end), F.col("component").alias(name))
+    ends = links.select("a", "b").join(small(label("a", "x"), n), "a", "left").join(small(label("b", "y"), n), "b", "left")
+    merged, m = _labelled(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    if not m:
+        return labels, n
+    moved = labels.join(small(merged.toDF("component", "target"), m), "component", "left").select("node", F.coalesce("target", "component").alias("component"))
+    new = merged.join(small(labels.select("node"), n), "node", "left_anti").select("node", "component")
+    done, n = counted(moved.union(new))
+    return small(done, n), n
 
 
 def _placed(active: DataFrame, labels: DataFrame, least_size: int) -> DataFrame:
@@ -334,8 +377,7 @@ def _grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     nodes, bands = small(nodes.drop("bands"), n), nodes.select("rep", "bands")
 
     tried = cut(_confirmed(_stars(bands, active), nodes, texts, shingle, percent), batch=BATCH)
-    links = tried.where("linked")
-    labels = components(links)
+    labels, known = _labelled(tried.where("linked"))
 
     open_, n = counted(_placed(active, labels, 3))  # a pair alone in a bucket has been tried
     few, large = open_.where(F.col("n") <= _SMALL_BUCKET), open_.where(F.col("n") > _SMALL_BUCKET)
@@ -345,11 +387,10 @@ def _grouped(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
         pairs = pairs.union(_spanning_pairs(large, nodes, percent)).distinct()
     if n:
         more = cut(_confirmed(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), nodes, texts, shingle, percent), batch=BATCH)
-        links = links.union(more.where("linked"))
-        labels = components(links)
-        large = cut(_placed(active.join(large.select("key").distinct(), "key", "left_semi"), labels, _SMALL_BUCKET + 1))
-        if not large.isEmpty():
-            labels = components(links.select("a", "b").union(_joining_links(large, nodes, texts, shingle, percent)))
+        labels, known = _joined(labels, known, more.where("linked"))
+        large, n = counted(_placed(active.join(large.select("key").distinct(), "key", "left_semi"), labels, _SMALL_BUCKET + 1))
+        if n:
+            labels, known = _joined(labels, known, _joining_links(large, nodes, texts, shingle, percent))
 
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = of_class.groupBy("component").agg(F.min("low").alias("component_id"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..workers import ship
 
-__all__ = ["BATCH", "counted", "cut", "ensure_checkpoint_dir", "keyed", "numbered", "release", "ship", "small", "unused"]
+__all__ = ["BATCH", "FEW", "counted", "cut", "ensure_checkpoint_dir", "keyed", "numbered", "release", "ship", "small", "unused"]
 
 #: Rows that are broadcast at most, where their number has been counted: 4 MB.
 FEW = 60_000

@@ -578,3 +578,36 @@ def test_pipeline_on_odd_rows(spark, pipeline, tmp_path):
             stage(spark, out, data).write.parquet(place)
             out = spark.read.parquet(place)
         assert out.count() <= rows.count()
+
+
+@pytest.mark.parametrize("few", [0, 60_000])
+def test_components_in_rounds_and_in_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    near_dedup.ship(spark)
+    draw = random.Random(5)
+    old = [(draw.randrange(120), draw.randrange(120)) for _ in range(70)] + [(200, 201), (201, 202), (202, 203), (200, 203)]
+    new = [(draw.randrange(150), draw.randrange(150)) for _ in range(15)] + [(203, 300), (300, 301)]
+
+    def groups(links):
+        sets = []
+        for a, b in ((a, b) for a, b in links if a != b):
+            met = [s for s in sets if a in s or b in s]
+            sets = [s for s in sets if s not in met] + [set().union({a, b}, *met)]
+        return {frozenset(s) for s in sets}
+
+    def found(labels):
+        of = {}
+        for node, component in labels.collect():
+            of.setdefault(component, set()).add(node)
+        assert all(c in s for c, s in of.items())
+        return {frozenset(s) for s in of.values()}
+
+    table = lambda links: spark.createDataFrame(links, "a long, b long")
+    labels, n = near_dedup._labelled(table(old))
+    assert found(labels) == groups(old) and n == labels.count()
+    more, m = near_dedup._joined(labels, n, table(new))
+    assert found(more) == groups(old + new) and m == more.count()
+    same, k = near_dedup._joined(more, m, table(old[:3]))
+    assert found(same) == groups(old + new) and k == m
+    none, zero = near_dedup._labelled(table([]))
+    assert none.count() == zero == 0
