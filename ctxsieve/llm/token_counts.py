@@ -2,15 +2,17 @@
 
 A SentencePiece model whose pieces hold the space mark only in front never merges over
 the gap before a run of spaces, so a text's count is the sum over its pre-tokens: a run
-of spaces and what follows up to the next one.  Tier one is a broadcast table of at most
-``table_size`` frequent pre-tokens, taken from at most ``sample_texts`` texts (the first
-``sample_chars`` characters each; this picks what is cached, never what is counted).
-Tier two is a bounded cache in each worker, filled by encoding misses.  Nothing is
-shuffled.
+of spaces and what follows up to the next one.  Tier one is a broadcast table of the
+``table_size`` most frequent pre-tokens of all whole texts: a first pass counts them on the
+map side, in tables of bounded size, and each task gives out its ``partial_size`` most
+frequent ones, whose counts are added up (this picks what is cached, never what is
+counted).  Tier two is a bounded cache in each worker, filled by encoding misses.  Texts
+and their pre-tokens are not shuffled, only these summaries are.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -78,18 +80,29 @@ class Lengths(dict):
 _lengths: dict[str, Lengths] = {}
 
 
-def frequent_lengths(docs: DataFrame, model_path: str, text_col: str, sample_texts: int, sample_chars: int, table_size: int) -> dict[str, int]:
-    sample = docs.select(F.substring(F.col(text_col).cast("string"), 1, sample_chars).alias("t")).where("t is not null").limit(sample_texts)
-    seen: Counter[str] = Counter()
-    for row in sample.collect():
-        seen.update(pre_tokens(row.t))
-    tokens = [t for t, n in seen.most_common(table_size) if len(t) <= CACHE_CHARS]
+def frequent_lengths(docs: DataFrame, model_path: str, text_col: str, table_size: int, partial_size: int) -> dict[str, int]:
+    """Lengths of the most frequent pre-tokens of all texts; of equal counts the least pre-token comes first."""
+    room = 8 * max(table_size, partial_size)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update(pre_tokens(text.as_py()))
+                if len(seen) > room:
+                    seen = Counter(dict(seen.most_common(room // 2)))
+        best = heapq.nsmallest(partial_size, ((-n, t) for t, n in seen.items() if len(t) <= CACHE_CHARS))
+        yield pa.RecordBatch.from_arrays([pa.array([t for _, t in best], pa.string()), pa.array([-n for n, _ in best], pa.int64())], ["token", "n"])
+
+    counts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null").mapInArrow(partial, "token string, n long")
+    rows = counts.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(table_size).collect()
+    tokens = [r.token for r in rows]
     return dict(zip(tokens, map(len, load_model(model_path).encode(tokens, num_threads=1)))) if tokens else {}
 
 
 def count_tokens(
     docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text",
-    sample_texts: int = 1000, sample_chars: int = 8000, table_size: int = 1 << 16,
+    table_size: int = 1 << 16, partial_size: int = 1 << 13,
 ) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every whole text, one row per input row.
 
@@ -98,7 +111,7 @@ def count_tokens(
     """
     spark = docs.sparkSession
     ship(spark)
-    table = spark.sparkContext.broadcast(frequent_lengths(docs, model_path, text_col, sample_texts, sample_chars, table_size))
+    table = spark.sparkContext.broadcast(frequent_lengths(docs, model_path, text_col, table_size, partial_size))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

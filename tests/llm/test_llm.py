@@ -97,6 +97,15 @@ def test_token_counts(docs):
         assert lengths.count(text) == len(model.encode(text))
 
 
+def test_frequent_pre_tokens_come_from_whole_texts(spark):
+    late = ["filler " * 3000 + "late " * 5000, *["x y"] * 1500, "last " * 4000, "", None, "w" * 100]
+    seen = collections.Counter(t for x in late if x for t in token_counts.pre_tokens(x) if len(t) <= token_counts.CACHE_CHARS)
+    want = sorted(seen, key=lambda t: (-seen[t], t))
+    for k in (0, 1, 2, 4, 100):
+        table_ = token_counts.frequent_lengths(table(spark, late).repartition(3), tokenizer(), "text", k, 100)
+        assert list(table_) == want[:k] and all(table_[t] == len(token_counts.load_model(tokenizer()).encode(t)) for t in table_)
+
+
 def full_search(model, text):
     """Viterbi over a whole text at once."""
     own = "\uffff\uffff"  # a mark in the text
