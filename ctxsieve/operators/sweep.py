@@ -28,17 +28,19 @@ def classify(parts: DataFrame, min_chars: int = 400) -> DataFrame:
     body dies by a later full write of its path; a result dies as the copy of an earlier
     body, else as a read before a change of its path, else as a change before a full write.
     """
-    calls = parts.where((F.col("kind") == "tool_use") & F.col("tool_use_id").isNotNull()).groupBy("conv_id", "tool_use_id").agg(
+    # rows without an id, a path or a body to compare meet nothing; a key of their own spreads them
+    alone = F.concat(F.lit("\0"), F.to_json(F.struct("ord")))
+    calls = parts.where((F.col("kind") == "tool_use") & F.col("tool_use_id").isNotNull()).groupBy("conv_id", F.col("tool_use_id").alias("_call")).agg(
         F.max_by(F.struct("tool_name", "file_path"), "ord").alias("call"))
-    joined = parts.join(calls, ["conv_id", "tool_use_id"], "left")
+    joined = parts.withColumn("_call", F.coalesce("tool_use_id", alone)).join(calls, ["conv_id", "_call"], "left").drop("_call")
     used = F.col("kind") == "tool_use"
     joined = joined.withColumn("_tool", F.when(used, F.col("tool_name")).otherwise(F.col("call.tool_name"))).withColumn(
         "_path", F.when(used, F.col("file_path")).otherwise(F.col("call.file_path"))).drop("call")
-    path = Window.partitionBy("conv_id", "_path")
+    path = Window.partitionBy("conv_id", F.when(F.col("_path") != "", F.col("_path")).otherwise(alone))
     last = lambda tools: F.max(F.when(used & F.col("tool_name").isin(*tools) & (F.col("file_path") != ""), F.col("ord"))).over(path)
     big = F.char_length("body") >= min_chars
     result = (F.col("kind") == "tool_result") & big
-    copies = Window.partitionBy("conv_id", result, F.md5("body")).orderBy("ord")
+    copies = Window.partitionBy("conv_id", F.when(result, F.md5("body")).otherwise(alone)).orderBy("ord")
     staged = joined.withColumn("_written", last(FULL_WRITE_TOOLS)).withColumn("_touched", last(MUTATING_TOOLS)).withColumn("_copy", F.row_number().over(copies))
     later = lambda c: F.coalesce(F.col(c) > F.col("ord"), F.lit(False)) & (F.col("_path") != "")
     reason = (

@@ -33,7 +33,7 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the benchmark item of their id as the question."""
     items = table(spark, sf_dir, "benchmark")
     n = max(1, items.count())
-    docs = table(spark, sf_dir, "documents").where("n_chars >= 800").select(F.col("doc_id").alias("block_id"), "text", F.pmod("doc_id", F.lit(n)).alias("item_id"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("block_id"), "text", F.pmod("doc_id", F.lit(n)).alias("item_id"))
     return docs.join(items.select("item_id", F.col("text").alias("query")), "item_id").select("block_id", "text", "query")
 
 
@@ -199,11 +199,11 @@ def freeze_decisions(spark, sf_dir):
 
 
 def duplicate_payloads(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.lit(0).alias("conv_id"), F.col("doc_id").alias("ord"), F.lit("tool_result").alias("kind"), F.lit(None).cast("string").alias("tool_use_id"),
-                                                    F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast("string").alias("file_path"), F.col("text").alias("body"), F.pmod("doc_id", F.lit(16)).alias("shard"))
-    # one transcript per sixteenth of the table
-    done = sweep.classify(docs.withColumn("conv_id", F.col("shard")).drop("shard"))
-    return done.where("reason = 'duplicate'").select(F.col("ord").alias("doc_id"))
+    """All documents as the results of one transcript."""
+    nothing = F.lit(None).cast("string")
+    docs = table(spark, sf_dir, "documents").select(F.lit(0).alias("conv_id"), F.col("doc_id").alias("ord"), F.lit("tool_result").alias("kind"), nothing.alias("tool_use_id"),
+                                                    nothing.alias("tool_name"), nothing.alias("file_path"), F.col("text").alias("body"))
+    return sweep.classify(docs).where("reason = 'duplicate'").select(F.col("ord").alias("doc_id"))
 
 
 def _transcript(spark, sf_dir):
@@ -265,7 +265,7 @@ def _own(spark, sf_dir):
 
 
 def _pool(spark, sf_dir):
-    """At most 3000 paragraphs, the pool's own bound."""
+    """At most 3000 paragraphs, the bound of the evaluation's pool, as a feature of it."""
     docs = table(spark, sf_dir, "documents").where("n_chars > 0").select("doc_id", "text").orderBy("doc_id").limit(3000)
     return docs.select(F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("title"), "text")
 
@@ -281,8 +281,10 @@ def build_context(spark, sf_dir):
 
 
 def pool_antijoin(spark, sf_dir):
+    """Titles of all documents but those of an item."""
     own = _own(spark, sf_dir).select("title")
-    return _pool(spark, sf_dir).join(own, "title", "left_anti").select("title")
+    titles = table(spark, sf_dir, "documents").select(F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("title"))
+    return titles.join(own, "title", "left_anti")
 
 
 def gold_recall(spark, sf_dir):

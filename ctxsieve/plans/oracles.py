@@ -72,7 +72,6 @@ done AS (SELECT blk.*, sizes.n, sizes.kept, built.new_text IS NOT NULL AS change
 _CHUNKS = f"WITH {_chunked()}"
 _SCORES = f"{_CHUNKS}, {_SCORED}"
 _DONE = f"{_SCORES}, {_decided()}"
-_BLOCKS_800 = "block_id IN (SELECT doc_id FROM documents WHERE length(text) >= 800)"
 
 _CONV = """conv AS (SELECT conv_id, turn AS msg_idx, role, text AS content,
   max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS last_user_idx FROM conversations),
@@ -146,11 +145,11 @@ WHERE regexp_matches(chunk, '(?i)licen[sc]e') OR regexp_matches(chunk, '[A-Za-z0
 FROM (SELECT doc_id, unnest(c) AS chunk, unnest(range(len(c))) AS idx FROM (SELECT doc_id, {_sentences('text')} AS c FROM documents))""",
     "rare_entities": f"{_CHUNKS} SELECT block_id, array_to_string(list_sort(rare), ',') AS rare FROM rare",
     "budget_topk": f"{_SCORES} SELECT block_id, idx, rn FROM rk WHERE rn <= {_budget('0.6')}",
-    "select_flagship": f"{_DONE} SELECT block_id, n, kept, changed, md5(new_text) AS text_md5 FROM done WHERE {_BLOCKS_800}",
+    "select_flagship": f"{_DONE} SELECT block_id, n, kept, changed, md5(new_text) AS text_md5 FROM done",
     "dropped_runs": f"{_DONE} SELECT block_id, start, length FROM run",
     "selection_stats": f"""{_DONE} SELECT count(*) AS blocks, sum(n)::BIGINT AS chunks_in, sum(kept)::BIGINT AS chunks_kept, sum(length(text))::BIGINT AS chars_in, sum(length(new_text))::BIGINT AS chars_out,
   sum(length(text) // 4 - length(new_text) // 4)::BIGINT AS tokens_saved FROM done WHERE changed""",
-    "tokens_saved": f"{_DONE} SELECT block_id, length(text) // 4 - length(new_text) // 4 AS tokens_saved FROM done WHERE {_BLOCKS_800}",
+    "tokens_saved": f"{_DONE} SELECT block_id, length(text) // 4 - length(new_text) // 4 AS tokens_saved FROM done",
     "marker_accounting": f"{_DONE} SELECT block_id, sum(length)::BIGINT AS dropped, count(*) AS runs FROM run GROUP BY block_id",
     "keep_sweep": f"""{_SCORES}, {_decided(KEEPS)} SELECT keep, count(*) AS blocks, sum(n)::BIGINT AS chunks_in, sum(kept)::BIGINT AS chunks_kept, round(median(100.0::DOUBLE * (n - kept) / n), 6) AS median_pct
 FROM sizes GROUP BY keep""",
@@ -161,8 +160,8 @@ FROM sizes GROUP BY keep""",
   coalesce(sum(CASE WHEN changed THEN dropped END), 0)::BIGINT AS chunks_dropped, bool_or(changed) AS changed FROM trimmed GROUP BY conv_id""",
     "freeze_first_sight": "SELECT doc_id AS turn, substr(md5(text), 1, 12) AS block_key, row_number() OVER (PARTITION BY substr(md5(text), 1, 12) ORDER BY doc_id) = 1 AS is_first FROM documents",
     "freeze_decisions": f"""{_DONE} SELECT b.block_id AS turn, f.changed, md5(f.new_text) AS text_md5 FROM blk b JOIN (
-  SELECT DISTINCT ON (text) * FROM done ORDER BY text, block_id) f ON f.text = b.text WHERE length(b.text) >= 800""",
-    "duplicate_payloads": "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id % 16, text ORDER BY doc_id) AS rn FROM documents WHERE length(text) >= 400) WHERE rn > 1",
+  SELECT DISTINCT ON (text) * FROM done ORDER BY text, block_id) f ON f.text = b.text""",
+    "duplicate_payloads": "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents WHERE length(text) >= 400) WHERE rn > 1",
     "sweep_edits": f"""WITH {_EVENTS}, p AS (SELECT conv_id, ord * 2 AS ord, event_type, 'f' || k % 7 AS path, repeat(k % 10 || 'x', (300 + 10 * k) // 2) AS body FROM ev),
 w AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN ord END) OVER (PARTITION BY conv_id, path) AS written,
   max(CASE WHEN event_type IN ('purchase', 'click') THEN ord END) OVER (PARTITION BY conv_id, path) AS touched,
@@ -183,12 +182,12 @@ SELECT set_id, pos, start, start + l AS stop FROM a""",
     "pad_context": f"{_PADDED} SELECT md5(question) AS question_md5, count(*) AS paragraphs, sum((length(title) + 2 + length(text)) // 4)::BIGINT AS tokens FROM padded GROUP BY question",
     "build_context": f"""{_PADDED}, o AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY md5(title || question), title, pos) AS i FROM padded)
 SELECT md5(question) AS question_md5, md5(string_agg('[' || i || '] ' || title || ': ' || text, E'\\n\\n' ORDER BY i)) AS context_md5 FROM o GROUP BY question""",
-    "pool_antijoin": f"WITH {_POOL}, {_OWN} SELECT title FROM pool WHERE title NOT IN (SELECT title FROM own)",
+    "pool_antijoin": f"""WITH {_OWN} SELECT title FROM (SELECT 't' || doc_id AS title FROM documents) WHERE title NOT IN (SELECT title FROM own)""",
     "gold_recall": f"""{_DONE} SELECT block_id, contains(text, query)::INT AS gold_total, (contains(text, query) AND len(list_filter({_sentences("query")}, lambda x: NOT contains(new_text, x))) = 0)::INT AS gold_kept
-FROM done WHERE {_BLOCKS_800}""",
+FROM done""",
     "select_embedded": f"""{_CHUNKS}, sc AS (SELECT block_id, idx, round(CASE WHEN list_sum(a) > 0 AND list_sum(b) > 0 THEN list_cosine_similarity(a, b) ELSE 0 END, 12) AS score FROM (
   SELECT block_id, idx, {_letters("chunk")} AS a, {_letters("query")} AS b FROM (SELECT block_id, query, unnest(chunks) AS chunk, unnest(range(n)) AS idx FROM chn))),
-{_SCORED[_SCORED.index("sd AS"):]}, {_decided()} SELECT block_id, n, kept, changed, md5(new_text) AS text_md5 FROM done WHERE {_BLOCKS_800}""",
+{_SCORED[_SCORED.index("sd AS"):]}, {_decided()} SELECT block_id, n, kept, changed, md5(new_text) AS text_md5 FROM done""",
     "conv_trim_parts": f"""{_CONV_DONE.replace("role IN ('user', 'assistant') AND", "role = 'assistant' AND turn % 2 = 1 AND".replace("turn", "msg_idx"))} SELECT conv_id, msg_idx, changed FROM trimmed""",
     "unblinded_grades": """WITH b AS (SELECT item_id, ('0x' || substr(md5(text), 1, 8))::BIGINT % 2 = 1 AS swap, item_id % 5 <> 0 AS parsed FROM benchmark)
 SELECT item_id, parsed, CASE WHEN parsed THEN CASE WHEN swap THEN 'partial' ELSE 'correct' END END AS grade_full, CASE WHEN parsed THEN CASE WHEN swap THEN 'correct' ELSE 'partial' END END AS grade_selected,
