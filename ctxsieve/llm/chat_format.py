@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEAD, COLON, NEXT, END = "### ", ": ", "<|next|>", "</turn>\n"
+#: Places of a stretch of a running sum.
+_STRETCH = 256
 #: What stands in texts as backslash and letter; the backslash itself first.
 ESCAPES = (("\\", "\\e"), ("###", "\\h"), ("<|next|>", "\\n"), ("</turn>", "\\t"))
 
@@ -40,6 +42,23 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("\\c"), F.lit(":")))
 
 
+def _before(sizes: Column) -> Column:
+    """For each place of a non-empty array of longs, the sum of what stands before it.
+
+    An aggregation that appends copies its array each time, so it runs over short stretches,
+    and once over the sums of these.
+    """
+    nothing = F.expr("cast(array() as array<bigint>)")
+
+    def running(xs: Column, start: Column) -> Column:
+        step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["seen"], F.array(s["at"])).alias("seen"))
+        return F.aggregate(xs, F.struct(start.alias("at"), nothing.alias("seen")), step, lambda s: s["seen"])
+
+    stretches = F.transform(F.sequence(F.lit(1), F.size(sizes), F.lit(_STRETCH)), lambda k: F.slice(sizes, k, _STRETCH))
+    sums = F.transform(stretches, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, n: s + n))
+    return F.flatten(F.zip_with(stretches, running(sums, F.lit(0).cast("long")), running))
+
+
 def format_chats(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """``conv_id, formatted, loss_spans``: one row per conversation.
 
@@ -53,40 +72,27 @@ def format_chats(conversations: DataFrame, id_col: str = "conv_id", turn_col: st
         F.col(id_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), text(role_col).alias("role"), text(text_col).alias("text")).alias("row")
     )
     turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    nothing = "cast(array() as array<struct<role: string, texts: array<string>>>)"
-    merged = F.aggregate(
-        "rows",
-        F.expr(nothing),
-        lambda done, r: F.when(
-            F.try_element_at(done, F.lit(-1))["role"] == r["role"],
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(F.struct(r["role"].alias("role"), F.concat(F.try_element_at(done, F.lit(-1))["texts"], F.array(escape(r["text"]))).alias("texts"))),
-            ),
-        ).otherwise(F.concat(done, F.array(F.struct(r["role"].alias("role"), F.array(escape(r["text"])).alias("texts"))))),
-    )
+    role = lambda i: F.get("rows", i)["role"]
+    places = F.sequence(F.lit(0), F.size("rows") - 1)
+    heads = F.filter(places, lambda i: (i == 0) | (role(i) != role(i - 1)))
+    ends = F.concat(F.slice("heads", 2, F.size("heads")), F.array(F.size("rows")))
+    run = lambda a, b: F.struct(role(a).alias("role"), F.transform(F.slice("rows", a + 1, b - a), lambda r: escape(r["text"])).alias("texts"))
     head = lambda t: F.concat(F.lit(HEAD), escape_role(t["role"]), F.lit(COLON))
     pieces = F.transform("merged", lambda t: F.concat(head(t), F.array_join(t["texts"], NEXT), F.lit(END)))
-    starts = F.aggregate(
-        F.col("pieces"),
-        F.expr("named_struct('at', 0L, 'starts', cast(array() as array<bigint>))"),
-        lambda s, p: F.struct((s["at"] + F.char_length(p)).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")),
-        lambda s: s["starts"],
-    )
-    spans_of = lambda t, start: F.aggregate(
-        t["texts"],
-        F.struct((start + F.char_length(head(t))).alias("at"), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + F.char_length(x) + len(NEXT)).alias("at"),
-            F.concat(s["spans"], F.array(F.struct(s["at"].alias("start"), (s["at"] + F.char_length(x)).alias("end")))).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
-    spans = F.flatten(F.filter(F.zip_with("merged", "starts", lambda t, s: F.when(t["role"].isin(*learn), spans_of(t, s))), lambda x: x.isNotNull()))
+    sizes = F.transform("merged", lambda t: F.transform(t["texts"], lambda x: F.char_length(x).cast("long") + len(NEXT)))
+    lengths = F.transform("pieces", lambda p: F.char_length(p).cast("long"))
+
+    def spans_of(t: Column) -> Column:
+        first = t["start"] + F.char_length(head(t["merged"]))
+        return F.zip_with(_before(t["sizes"]), t["sizes"], lambda at, n: F.struct((first + at).alias("start"), (first + at + n - len(NEXT)).alias("end")))
+
+    spans = F.flatten(F.transform(F.filter("each", lambda t: t["merged"]["role"].isin(*learn)), spans_of))
     return (
-        turns.select("conv_id", merged.alias("merged"))
-        .select("conv_id", "merged", pieces.alias("pieces"))
-        .select("conv_id", "merged", F.array_join("pieces", "").alias("formatted"), starts.alias("starts"))
+        turns.select("conv_id", "rows", heads.alias("heads"))
+        .select("conv_id", F.zip_with("heads", ends, run).alias("merged"))
+        .select("conv_id", "merged", pieces.alias("pieces"), sizes.alias("sizes"))
+        .select("conv_id", "merged", "sizes", F.array_join("pieces", "").alias("formatted"), lengths.alias("lengths"))
+        .select("conv_id", "formatted", F.arrays_zip(F.col("merged"), F.col("sizes"), _before(F.col("lengths")).alias("start")).alias("each"))
         .select("conv_id", "formatted", spans.alias("loss_spans"))
     )
 

@@ -83,6 +83,16 @@ def test_chat_format(spark):
         assert g.formatted.count("</turn>\n") == runs == len(re.findall("^### ", g.formatted, re.M))
 
 
+def test_long_chats(spark):
+    rng = random.Random(5)
+    rows = [(c, i, rng.choice(["user", "assistant"]) if c else "assistant", "é#" * rng.randint(0, 3)) for c in (0, 1) for i in range(700)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    for g in chat_format.read_back(chat_format.format_chats(df)).collect():
+        turns = [r[2:] for r in rows if r[0] == g.conv_id]
+        assert [tuple(t) for t in g.turns] == turns
+        assert g.loss_texts == [x for r, x in turns if r == "assistant"]
+
+
 def test_token_counts(docs):
     import sentencepiece
 
