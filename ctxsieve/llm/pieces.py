@@ -6,7 +6,9 @@ and keeps only the boundaries within the longest piece's reach.  Whenever the
 backpointer paths of all of them meet in one boundary, the ids up to it are final: they
 are given out and forgotten, so the state of a text of any length stays small.  Between
 two neighbouring characters that stand side by side in no piece every path has a
-boundary, so such places are cut ahead, and the stretches between them are cached.
+boundary, so long runs without a space are cut there, and the stretches between are cached
+as short runs are.  What the cache lacks of a slice of rows is searched side by side: arrays
+hold the boundaries of many short texts, and all of them move on together.
 
 Characters without a piece become their UTF-8 bytes' pieces.  The space mark itself, if
 it stands in a text, is written that way too, so that decoding restores every text.  In a
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import ship
+from .words import U64, chunks, utf8
 
 MARK = "▁"
 #: Stands for the mark as a character of the text; in no piece, and put into bytes.
@@ -34,10 +38,66 @@ _OWN_MARK = "▁"
 _WINDOW = 64
 #: Entries of each of the two generations of the cache, and the longest stretch kept.
 CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
+#: Fewer texts than this are searched one by one; characters that are searched side by side.
+FEW, _SIDE_BY_SIDE = 500, 1 << 18
+#: Bytes of the texts that are encoded together; a longer text stands alone.
+_SLICE = 1 << 20
+#: Stands behind each of the texts that are searched side by side; no character's number.
+_END = 0x1FFFFF
 _RUN = re.compile(r" +[^ ]*")
 _OWN_MARK = re.compile(f"({MARK})")
 
 
+class _Steps:
+    """The trie of the pieces for arrays of nodes: a hash table with linear probing.
+
+    Node 0 is the root, the last one stands for no piece's beginning.
+    """
+
+    def __init__(self, pieces: dict[str, tuple[float, int]]) -> None:
+        number = {"": 0}
+        for piece in pieces:
+            for j in range(1, len(piece) + 1):
+                number.setdefault(piece[:j], len(number))
+        self.none = n = len(number)
+        begins = list(number)[1:]
+        parents = np.array([number[x[:-1]] for x in begins], np.int64)
+        keys = parents << 21 | np.array([ord(x[-1]) for x in begins], np.int64)
+        self.inner = np.zeros(n + 1, bool)
+        self.inner[parents] = True
+        self.gain, self.piece = np.full(n + 1, -np.inf), np.full(n + 1, -1, np.int32)
+        for piece, (score, i) in pieces.items():
+            self.gain[number[piece]], self.piece[number[piece]] = score, i
+        bits = (4 * n).bit_length()
+        self.shift, self.mask = U64(64 - bits), (1 << bits) - 1
+        self.keys, self.to = np.full(1 << bits, -1, np.int64), np.full(1 << bits, n, np.int64)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[left[free]]
+            won = self.keys[slot] == keys[left]
+            self.to[slot[won]] = left[won] + 1
+            left, slot = left[~won], (slot[~won] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(U64) * U64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def follow(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The nodes that the characters lead to."""
+        keys = nodes << 21 | codes
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.to[slot], self.none)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            there = self.keys[slot[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.to[slot[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        return out
+
+
 class Lexicon:
     """Pieces, scores and byte pieces of a SentencePiece model."""
 
@@ -45,13 +105,14 @@ class Lexicon:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.text, self.pieces, self.bytes = [], {}, {}
+        self.text: list[bytes] = []
+        self.pieces, self.bytes = {}, {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
-            self.text.append(None)
+            self.text.append(b"")
             if model.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
-                self.text[i] = int(piece[3:5], 16)
+                self.text[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.pieces[piece] = (model.get_score(i), i)
                 self.text[i] = piece.replace(MARK, " ").encode()
@@ -67,8 +128,9 @@ class Lexicon:
                 node = node[0].setdefault(c, [{}, 0.0, None])
             node[1:] = score, i
         self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.steps = _Steps(self.pieces)
+        self.cache: dict[str, bytes] = {}  # ids as little-endian 32-bit numbers
+        self.older: dict[str, bytes] = {}
 
     def spell(self, char: str) -> tuple[int, ...]:
         spelt = tuple(self.bytes.get(b, self.unknown_id) for b in char.encode())
@@ -138,47 +200,114 @@ class Lexicon:
         cuts = [i + 1 for i in range(len(text) - 1) if text[i : i + 2] not in pairs]
         return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])] if cuts else [text]
 
-    def run_ids(self, run: str) -> tuple[int, ...]:
-        """Ids of a run of spaces and what follows, which the cache of this generation lacks."""
-        ids = self.older.get(run)
-        if ids is None:
-            out: list[int] = []
-            for part in _OWN_MARK.split(run) if MARK in run else (run,):
-                if part == MARK:
-                    out.extend(self.spell(MARK))
-                    continue
-                for stretch in self.stretches(part.replace(" ", MARK)):
-                    known = self.cache.get(stretch) or self.older.get(stretch)
-                    if known is None:
-                        known = tuple(i for found in self.search(stretch) for i in found)
-                        self._keep(stretch, known)
-                    out.extend(known)
-            ids = tuple(out)
-        self._keep(run, ids)
-        return ids
-
-    def _keep(self, key: str, ids: tuple[int, ...]) -> None:
-        if len(key) <= CACHE_CHARS:
+    def search_all(self, texts: list[str]) -> list[bytes]:
+        """What ``search`` gives for each of many short texts, found side by side.
+
+        A text of n characters has n + 1 places in the arrays, one for each boundary.  In
+        step i the paths of all texts go on from boundary i, so ties end as in ``search``.
+        """
+        n = np.array(list(map(len, texts)), np.int64)
+        order = np.argsort(-n, kind="stable")
+        n, order = n[order], order.tolist()
+        starts = np.concatenate(([0], np.cumsum(n + 1)))
+        codes = np.frombuffer(("\0".join([texts[k] for k in order]) + "\0").encode("utf-32-le"), np.uint32).astype(np.int64)
+        codes[starts[1:] - 1] = _END
+        room = len(codes) + 1  # one more, for steps that end at the last ``_END``
+        best, size, last = np.full(room, -np.inf), np.zeros(room, np.int64), np.full(room, -1, np.int32)
+        best[starts[:-1]] = 0.0
+        steps = self.steps
+        for i in range(int(n.max(initial=0))):
+            at = starts[: np.searchsorted(-n, -i)] + i
+            node, score = np.zeros(len(at), np.int64), best[at]
+            for d in range(max(1, self.longest)):
+                node, to = steps.follow(node, codes[at + d]), at + d + 1
+                gain, piece = steps.gain[node], steps.piece[node]
+                total = score + (gain if d else np.where(piece < 0, self.unknown, gain))
+                better = total > best[to]
+                to = to[better]
+                best[to], size[to], last[to] = total[better], d + 1, piece[better]
+                more = steps.inner[node]
+                at, node, score = at[more], node[more], score[more]
+                if not len(at):
+                    break
+        reached = np.zeros(len(codes), bool)
+        place, first = starts[1:] - 1, starts[:-1]
+        while len(place):
+            more = place > first
+            place, first = place[more], first[more]
+            reached[place] = True
+            place = place - size[place]
+        ends = np.flatnonzero(reached)
+        ids, lengths = last[ends], np.ones(len(ends), np.int64)
+        if (ids < 0).any():
+            unknown = codes[ends[ids < 0] - 1].tolist()
+            spelt = {c: self.spell(chr(c)) for c in set(unknown)}
+            lengths[ids < 0] = [len(spelt[c]) for c in unknown]
+            ids = np.repeat(ids, lengths)
+            ids[ids < 0] = list(chain.from_iterable(spelt[c] for c in unknown))
+        bounds = 4 * np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(ends, starts)]
+        raw, out = ids.astype("<i4").tobytes(), [b""] * len(texts)
+        for k, a, b in zip(order, bounds.tolist(), bounds[1:].tolist()):
+            out[k] = raw[a:b]
+        return out
+
+    def _solve(self, texts: set[str]) -> dict[str, bytes]:
+        """Ids of different texts (with marks for spaces); long ones are read one by one."""
+        found: dict[str, bytes] = {}
+        short = sorted((t for t in texts if len(t) <= CACHE_CHARS), key=len)
+        if len(short) >= FEW:
+            ends = np.cumsum([len(t) + 1 for t in short])
+            edges = [0, *(np.flatnonzero(np.diff(ends // _SIDE_BY_SIDE)) + 1).tolist(), len(short)]
+            for a, b in zip(edges, edges[1:]):
+                found.update(zip(short[a:b], self.search_all(short[a:b])))
+        for t in texts:
+            if t not in found:
+                found[t] = np.array(list(chain.from_iterable(self.search(t))), "<i4").tobytes()
+        return found
+
+    def _run_ids(self, runs: set[str]) -> dict[str, bytes]:
+        """Ids of runs of spaces and what follows."""
+        found = dict(zip(runs, map(self.cache.get, runs)))
+        missing = [run for run, ids in found.items() if ids is None]
+        older = {run: ids for run, ids in zip(missing, map(self.older.get, missing)) if ids is not None}
+        new = [run for run in missing if run not in older]
+        odd = [run for run in new if MARK in run or len(run) > CACHE_CHARS]
+        cut = {}
+        for run in odd:
+            parts = [(part == MARK, part.replace(" ", MARK)) for part in _OWN_MARK.split(run) if part]
+            cut[run] = [x for own, part in parts for x in ([None] if own else self.stretches(part))]
+        plain = {run: run.replace(" ", MARK) for run in new if run not in cut}
+        stretches = set(chain.from_iterable(cut.values())) - {None}
+        known = {x: self.cache.get(x) or self.older.get(x) for x in stretches}
+        known.update(self._solve({x for x in stretches if known[x] is None}.union(plain.values())))
+        kept = older | {x: known[x] for x in stretches} | dict(zip(plain, map(known.__getitem__, plain.values())))
+        known[None] = np.array(self.spell(MARK), "<i4").tobytes()
+        kept.update((run, b"".join([known[x] for x in parts])) for run, parts in cut.items())
+        self._keep([(key, ids) for key, ids in kept.items() if len(key) <= CACHE_CHARS])
+        found.update(kept)
+        return found
+
+    def _keep(self, entries: list[tuple[str, bytes]]) -> None:
+        at = 0
+        while at < len(entries):
             if len(self.cache) >= CACHE_ENTRIES:
                 self.older, self.cache = self.cache, {}
-            self.cache[key] = ids
+            end = at + CACHE_ENTRIES - len(self.cache)
+            self.cache.update(entries[at:end])
+            at = end
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, each read with one space in front, as little-endian 32-bit numbers."""
+        runs = [_RUN.findall(" " + t) if t else [] for t in texts]
+        ids = self._run_ids(set(chain.from_iterable(runs)))
+        return [b"".join(map(ids.__getitem__, r)) for r in runs]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, which is read with one space in front."""
-        out: list[int] = []
-        if text:
-            for run in _RUN.findall(" " + text):
-                out.extend(self.cache.get(run) or self.run_ids(run))
-        return out
+        return np.frombuffer(self.encode_all([text])[0], "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
-        out = bytearray()
-        for i in ids:
-            piece = self.text[i]
-            if isinstance(piece, int):
-                out.append(piece)
-            elif piece is not None:
-                out += piece
+        out = b"".join(map(self.text.__getitem__, ids))
         return (out[1:] if out[:1] == b" " else out).decode(errors="replace")
 
 
@@ -207,16 +336,16 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lexicon(model_path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start, end in chunks(utf8(batch.column(1))[1], _SLICE):
+                part = batch.slice(start, end - start)
                 texts = part.column(1).to_pylist()
-                ids = [np.array(model.encode(t), np.int32) for t in texts]
-                same = [model.decode(i.tolist()) == t for i, t in zip(ids, texts)]
-                ends = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-                flat = np.concatenate(ids) if with_ids else np.zeros(0, np.int32)
+                ids = model.encode_all(texts)
+                same = [model.decode(np.frombuffer(i, "<i4").tolist()) == t for i, t in zip(ids, texts)]
+                ends = np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids]))).astype(np.int32)
+                flat = np.frombuffer(b"".join(ids), "<i4") if with_ids else np.zeros(0, np.int32)
                 lists = pa.ListArray.from_arrays(ends, flat) if with_ids else pa.nulls(len(ids), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(ends), pa.int64()), lists, pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()), pa.array(same, pa.bool_())],
+                    [part.column(0), pa.array(np.diff(ends), pa.int64()), lists, pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(same, pa.bool_())],
                     ["doc_id", "n_tokens", "ids", "ids_crc32", "round_trip"],
                 )
 

@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import itertools
 import json
 import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +149,54 @@ def test_pieces(docs):
     assert len(given) > 5 and [i for x in given for i in x] == full_search(model, long)
 
 
+def odd_texts():
+    """Many different words, some long, with unknown characters, marks, NULs and several spaces."""
+    draw = random.Random(11)
+    letters = "aaeeiinnsttthre" * 4 + "öß漢字ﬁ▁▁\0\t\n😀,.$*-0179\U0010ffff"
+    word = lambda: "".join(draw.choices(letters, k=draw.choice([1, 2, 3, 5, 8, 13, 46, 47, 48, 49, 130])))
+    texts = ["".join(draw.choice(["", " ", " ", "  ", "   "]) + word() for _ in range(60)) for _ in range(40)]
+    return [*texts, "", " ", "   ", "▁", " ▁ ", "ﬁ" * 60, "a" * 200, "\0", texts[0]]
+
+
+def test_new_words_are_searched_side_by_side(monkeypatch):
+    """Of new short words no search of its own is made."""
+    model = pieces.Lexicon(tokenizer())
+    monkeypatch.setattr(model, "search", lambda text: pytest.fail(f"one by one: {text}"))
+    words = ["".join(x) for x in itertools.product("abenost", repeat=4)]
+    assert model.encode(" ".join(words)) == full_search(model, " ".join(words))
+
+
+@pytest.mark.parametrize("few, entries", [(0, 200_000), (0, 100), (1 << 30, 100)])
+def test_searches_agree(monkeypatch, few, entries):
+    """One by one and side by side, with caches that hold all or little, in many portions."""
+    for name, value in (("FEW", few), ("CACHE_ENTRIES", entries), ("_SIDE_BY_SIDE", 1000)):
+        monkeypatch.setattr(pieces, name, value)
+    model, texts = pieces.Lexicon(tokenizer()), odd_texts()
+    for _ in range(2):
+        for text, ids in zip(texts, model.encode_all(texts)):
+            ids = np.frombuffer(ids, "<i4").tolist()
+            assert ids == full_search(model, text) and model.decode(ids) == text
+        assert len(model.cache) <= entries and all(len(x) <= pieces.CACHE_CHARS for x in model.cache)
+    assert model.encode_all([]) == []
+
+
+def test_searches_agree_on_ties_and_without_byte_pieces():
+    """A small lexicon with equal paths and nothing to write unknown characters with."""
+    draw = random.Random(3)
+    model = pieces.Lexicon(tokenizer())
+    parts = {"a": -1.0, "b": -1.0, "ab": -2.0, "aba": -3.0, "ba": -2.0, "bb": -1.5, "▁": -1.0, "▁a": -2.0, "abab": -4.0, "cd": -0.5}
+    model.pieces = {x: (score, i) for i, (x, score) in enumerate(parts.items(), 1)}
+    model.steps, model.bytes, model.unknown_id, model.unknown, model.longest, model.trie = pieces._Steps(model.pieces), {}, 0, -14.0, 4, {}
+    for x, found in model.pieces.items():
+        node = [model.trie, 0.0, None]
+        for c in x:
+            node = node[0].setdefault(c, [{}, 0.0, None])
+        node[1:] = found
+    texts = ["▁" + "".join(draw.choices("aabbcd", k=draw.randrange(30))) for _ in range(300)] + ["", "c", "▁"]
+    for text, ids in zip(texts, model.search_all(texts)):
+        assert np.frombuffer(ids, "<i4").tolist() == [i for x in model.search(text) for i in x]
+
+
 @pytest.mark.parametrize("limit", [32 << 20, 2000, 0])
 def test_decontamination(spark, docs, limit, monkeypatch):
     monkeypatch.setattr(decontamination, "_PART", 5)  # the commonest words are dealt to several parts
