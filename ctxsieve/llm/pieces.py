@@ -39,9 +39,9 @@ _WINDOW = 64
 #: Entries of each of the two generations of the cache, and the longest stretch kept.
 CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
 #: Fewer texts than this are searched one by one; characters that are searched side by side.
-FEW, _SIDE_BY_SIDE = 500, 1 << 18
+FEW, _SIDE_BY_SIDE = 500, 1 << 16
 #: Bytes of the texts that are encoded together; a longer text stands alone.
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 #: Stands behind each of the texts that are searched side by side; no character's number.
 _END = 0x1FFFFF
 _RUN = re.compile(r" +[^ ]*")
