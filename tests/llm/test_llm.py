@@ -319,6 +319,18 @@ def test_pii_base():
         assert pii.base_spans(s) == base_spans(s), s
 
 
+def test_pii_counts_of_each_kind(spark, tmp_path):
+    """All columns of the contract against brute force, in rows where a kind's number and a span's place differ."""
+    ip, card, phone, mail = "10.0.0.1", "4111 1111 1111 1111", "+1 (988) 555-2485", "a@b.co"
+    texts = [phone, f"{phone} or {phone}", f"{ip}, {ip}, {mail}", f"{card}; {mail}", f"{mail} {ip} {card}; {phone}", f"é {mail} {mail} {mail}", "none", "", None, "300.1.1.1 4111-1111-1111-1112"]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in QUERIES["op8_pii"](spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        spans = base_spans(text or "")
+        said = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        assert got[i] == (*(sum(s[1] == k for s in spans) for k in range(4)), hashlib.sha256(said.encode()).hexdigest()), text
+
+
 def test_pii_bootstrap(spark):
     texts = [f"please write to mail: a{k}@x.org today" for k in range(12)] + ["please write to mail: user-99812x today", "see id user-99812x now", None, ""]
     df = table(spark, texts)
