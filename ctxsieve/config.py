@@ -24,10 +24,14 @@ def _bounded(words: tuple[str, ...]) -> str:
 
 @dataclass(frozen=True)
 class SelectionConfig:
-    """Gates, budget bounds and guards of a selection; patterns are Java regular expressions."""
+    """Gates, budget bounds and guards of a selection; patterns are Java regular expressions.
+
+    Without ``shapes`` a text is split into sentences only, whatever delimiters or lines it has.
+    """
 
     min_message_chars: int = 800
     min_chunks: int = 4
+    shapes: bool = True
     min_keep_ratio: float = 0.25
     max_keep_ratio: float = 1.0
     relative_floor: float = 0.35

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import SEPARATOR, SelectionConfig
 from ..functions.text import approx_tokens, marker_text, matches_any, strip, tokens
-from .chunking import split_chunks
+from .chunking import sentences, split_chunks
 from .scoring import block_scores, check_embedder, embedded
 
 
@@ -33,7 +33,8 @@ def chunk_blocks(blocks: DataFrame, cfg: SelectionConfig) -> DataFrame:
     splitting and split every text several times.
     """
     asked = (F.char_length("text") >= cfg.min_message_chars) & (strip(F.coalesce("query", F.lit(""))) != "")
-    split = split_chunks(blocks.withColumn("_text", F.when(asked, F.col("text"))), "_text", cfg.min_chunks, "_chunks")
+    staged = blocks.withColumn("_text", F.when(asked, F.col("text")))
+    split = split_chunks(staged, "_text", cfg.min_chunks, "_chunks") if cfg.shapes else staged.withColumn("_chunks", sentences(F.col("_text")))
     enough = F.when(F.size("_chunks") >= cfg.min_chunks, F.col("_chunks"))
     return split.withColumn("chunks", enough).drop("_chunks", "_text").withColumn("n", F.when(F.col("chunks").isNotNull(), F.size("chunks")))
 
