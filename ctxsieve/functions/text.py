@@ -7,22 +7,23 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"[\s\x1c-\x1f]"
+#: Unicode's white space and the four separators: what ``(?U)[\s\x1c-\x1f]`` matches, without a pattern to search whole texts for.
+_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # A token is one character of the CJK blocks, else a run of letters and digits.
 _CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 _SINGLE, _BETWEEN = f"[{_CJK}]", rf"[^\p{{L}}\p{{N}}{_CJK}]+"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(text, F.lit(_SPACE))
 
 
 def strip_left(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{_SPACE}+", "")
+    return F.ltrim(text, F.lit(_SPACE))
 
 
 def strip_right(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U){_SPACE}+$", "")
+    return F.rtrim(text, F.lit(_SPACE))
 
 
 def tokens(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import SelectionConfig
 from ..functions.text import approx_tokens, strip, strip_left
+from .placing import placed
 from .selection import decide_blocks, rank_blocks, rebuild_blocks, score_blocks, select_blocks
 
 # Tools whose output may be trimmed, fields that hold it, arguments that tell its purpose.
@@ -65,7 +66,7 @@ def replay(outputs: DataFrame, keeps: tuple[float, ...] = KEEPS, cfg: SelectionC
     cfg = cfg or SelectionConfig()
     fit = _asked(outputs).where(eligible(F.col("tool"), F.col("text"), cfg.min_message_chars) & (strip(F.col("query")) != ""))
     grid = F.explode(F.array(*(F.lit(float(k)) for k in keeps)))
-    ranked = rank_blocks(score_blocks(fit.select("session", "block_id", "text", "query").repartition("block_id"), cfg))
+    ranked = rank_blocks(score_blocks(placed(fit.select("session", "block_id", "text", "query"), "block_id"), cfg))
     built = rebuild_blocks(decide_blocks(ranked.withColumn("keep", grid), cfg, F.col("keep")), cfg)
     rows = built.select("session", "keep", "text", F.when(F.col("dropped") > 0, F.col("new_text")).alias("new_text"))
     fired = F.coalesce(F.char_length("new_text") < F.char_length("text"), F.lit(False))

@@ -83,8 +83,8 @@ def split_chunks(df: DataFrame, text_col: str = "text", min_chunks: int = 4, nam
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     marked = F.when(text.rlike("[\x01\x02]"), _delimited(text, *_MARKS[1])).otherwise(_delimited(text, *_MARKS[0]))
-    staged = df.withColumn("_parts", marked).withColumn("_sentences", sentences(text))
     bodies = F.size(F.filter("_parts", lambda x: x["is_body"]))
+    staged = df.withColumn("_parts", marked).withColumn("_sentences", F.when(bodies < 2, sentences(text)))
     short = F.size("_sentences") < min_chunks
     lines = F.when(short & (bodies < 2), line_chunks(text, min_chunks)).otherwise(F.expr(_PARTS))
     staged = staged.withColumn("_lines", lines)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import SEPARATOR, SelectionConfig
 from ..functions.text import strip
+from .placing import placed
 from .selection import decide_blocks, hold, rank_blocks, score_blocks
 
 
@@ -49,7 +50,7 @@ def select_documents(docs: DataFrame, keep: float = 0.6, cfg: SelectionConfig |
     one row until its documents are given back.
     """
     cfg = (cfg or SelectionConfig()).with_keep(keep)
-    sets = joined_sets(docs)
+    sets = joined_sets(placed(docs, "set_id"))
     asked = sets.withColumn("query", F.when(F.size("rows") >= 2, F.col("query")))
     decided = decide_blocks(rank_blocks(score_blocks(asked, cfg, embed)), cfg, F.lit(float(keep)))
     cut = F.coalesce(F.size("kept") < F.col("n"), F.lit(False))

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SelectionConfig
+from .placing import placed
 from .selection import select_blocks
 
 
+def block_key(text: str = "text") -> Column:
+    return F.substring(F.md5(text), 1, 12)
+
+
 def first_sight(blocks: DataFrame, scope: str | None = None) -> DataFrame:
     """``blocks (turn, text, ...)`` with ``block_key`` and ``is_first`` within the scope."""
     keys = [scope] if scope else []
     window = Window.partitionBy(*keys, "block_key").orderBy("turn")
-    return blocks.withColumn("block_key", F.substring(F.md5("text"), 1, 12)).withColumn("is_first", F.row_number().over(window) == 1)
+    return blocks.withColumn("block_key", block_key()).withColumn("is_first", F.row_number().over(window) == 1)
 
 
 def select_frozen(blocks: DataFrame, keep: float = 0.6, cfg: SelectionConfig | None = None, scope: str | None = None) -> DataFrame:
@@ -22,7 +27,7 @@ def select_frozen(blocks: DataFrame, keep: float = 0.6, cfg: SelectionConfig | N
     The key is the block alone, so a later question replays the first decision.
     """
     keys = [scope, "block_key"] if scope else ["block_key"]
-    seen = first_sight(blocks, scope)
+    seen = first_sight(placed(blocks.withColumn("block_key", block_key()), *keys), scope)
     first = seen.where("is_first").withColumn("block_id", F.concat_ws(":", *(F.col(k).cast("string") for k in keys)))
     decided = select_blocks(first, keep, cfg).select(*keys, "new_text", "changed")
     return seen.join(decided, keys, "left")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import SEPARATOR, SelectionConfig
 from ..functions.text import approx_tokens, marker_text, matches_any, strip, tokens
 from .chunking import sentences, split_chunks
+from .placing import placed
 from .scoring import block_scores, check_embedder, embedded
 
 
@@ -128,8 +129,8 @@ def select_blocks(blocks: DataFrame, keep: float | Column = 0.6, cfg: SelectionC
     if embed:
         check_embedder(embed)
     keep = F.lit(float(keep)) if isinstance(keep, (int, float)) else keep
-    placed = blocks.repartition("block_id") if embed is None else blocks
-    built = rebuild_blocks(decide_blocks(rank_blocks(score_blocks(placed, cfg, embed)), cfg, keep), cfg)
+    by_block = placed(blocks, "block_id") if embed is None else blocks
+    built = rebuild_blocks(decide_blocks(rank_blocks(score_blocks(by_block, cfg, embed)), cfg, keep), cfg)
     changed = F.coalesce(F.col("dropped") > 0, F.lit(False))
     return built.withColumn("changed", changed).withColumn("new_text", F.when(changed, F.col("new_text")).otherwise(F.col("text"))).select(
         *blocks.columns, "n", "kept", "dropped", "runs", "changed", "new_text")

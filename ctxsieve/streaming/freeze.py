@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,17 +19,23 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class _FirstSight(StatefulProcessor):
-    """Keeps the first turn and its query of a block; later turns get them again."""
+    """Keeps the first turn and its query of a block; later turns get them again.
+
+    Most blocks are seen once, so it takes rows, as a table of one row costs more than its
+    state, and asks the state store once for a known block and twice for a new one.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.first = handle.getValueState("first", "turn long, query string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("turn", kind="stable")
-        if not self.first.exists():
-            self.first.update((int(pdf["turn"].iloc[0]), pdf["query"].iloc[0]))
-        turn, query = self.first.get()
-        yield pd.DataFrame({"block_key": key[0], "turn": pdf["turn"], "first_turn": turn, "first_query": query})
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        seen = sorted(((r["turn"], r["query"]) for r in rows), key=lambda r: r[0])
+        first = self.first.get()
+        if first is None:
+            first = seen[0]
+            self.first.update(first)
+        for turn, _ in seen:
+            yield Row(block_key=key[0], turn=turn, first_turn=first[0], first_query=first[1])
 
     def close(self) -> None:
         pass
@@ -78,20 +84,22 @@ class _Decided(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.made = handle.getValueState("made", "turn long, new_text string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         from ctxsieve.functions.single import trim_one
 
-        pdf = pd.concat(list(rows)).sort_values("turn", kind="stable")
-        if not self.made.exists():
-            first = pdf.iloc[0]
+        seen = sorted(rows, key=lambda r: r["turn"])
+        made = self.made.get()
+        if made is None:
+            first = seen[0]
             try:
                 new = trim_one(first["text"], first["query"], self.keep, self.cfg)
             except Exception:
                 logging.getLogger("ctxsieve").warning("a block is left as it is", exc_info=True)
                 new = first["text"]
-            self.made.update((int(first["turn"]), new))
-        turn, new = self.made.get()
-        yield pd.DataFrame({"block_key": key[0], "turn": pdf["turn"], "first_turn": turn, "new_text": new, "changed": pdf["text"] != new})
+            made = (first["turn"], new)
+            self.made.update(made)
+        for r in seen:
+            yield Row(block_key=key[0], turn=r["turn"], first_turn=made[0], new_text=made[1], changed=r["text"] != made[1])
 
     def close(self) -> None:
         pass
@@ -101,14 +109,14 @@ def decided_stream(blocks: DataFrame, keep: float = 0.6, cfg=None) -> DataFrame:
     """``block_key, turn, first_turn, new_text, changed`` of a stream of ``turn, text, query``."""
     ship(blocks.sparkSession)
     keyed = blocks.select(F.substring(F.md5("text"), 1, 12).alias("block_key"), F.col("turn").cast("long").alias("turn"), "text", "query")
-    return keyed.groupBy("block_key").transformWithStateInPandas(
+    return keyed.groupBy("block_key").transformWithState(
         _Decided(keep, cfg), "block_key string, turn long, first_turn long, new_text string, changed boolean", "Append", "None")
 
 
 def frozen_stream(blocks: DataFrame) -> DataFrame:
     """``block_key, turn, first_turn, first_query`` of a stream of ``turn, text, query``."""
     keyed = blocks.select(F.substring(F.md5("text"), 1, 12).alias("block_key"), F.col("turn").cast("long").alias("turn"), "query")
-    return keyed.groupBy("block_key").transformWithStateInPandas(
+    return keyed.groupBy("block_key").transformWithState(
         _FirstSight(), "block_key string, turn long, first_turn long, first_query string", "Append", "None")
 
 
